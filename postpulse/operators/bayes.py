@@ -61,7 +61,11 @@ def fit_bayes(
     max_df: int | float = 1.0,
     max_n: int = 1,
 ) -> ComplementBayes:
-    """Fit on labelled documents; ``terms`` already holds the n-grams up to ``max_n``."""
+    """Fit on labelled documents; ``terms`` already holds the n-grams up to ``max_n``.
+
+    Tokens are read twice (vocabulary, weights), so they are written once first.
+    """
+    docs = cut_lineage(docs.select(*key, label, terms), "tokens")
     tf = term_freq(docs, terms, key, carry=[label])
     vocabulary, rows = fit_vocabulary(tf, docs.count(), min_df, max_df)
     weights = weigh_terms(tf, vocabulary, key, rows)

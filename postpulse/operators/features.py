@@ -23,7 +23,8 @@ def term_freq(docs: DataFrame, terms: str = "tokens", key: Sequence[str] = KEY,
     """``key, carry, term, tf``; ``carry`` columns depend on the key (a label, a date)."""
     columns = [*key, *carry]
     placed = docs.select(*columns, terms).repartition(*key)
-    words = placed.select(*columns, F.explode(terms).alias("term"))
+    # explode_outer: a plain explode makes the optimiser repeat the token expression in a filter
+    words = placed.select(*columns, F.explode_outer(terms).alias("term")).filter(F.col("term").isNotNull())
     return words.groupBy(*columns, "term").agg(F.count("*").alias("tf"))
 
 
@@ -92,7 +93,11 @@ def tfidf(
     min_df: int | float = 1,
     max_df: int | float = 1.0,
 ) -> DataFrame:
-    """``key, carry, term, tf, weight``: TF-IDF fitted on ``docs`` and applied to them."""
+    """``key, carry, term, tf, weight``: TF-IDF fitted on ``docs`` and applied to them.
+
+    Tokens are read twice (vocabulary, weights), so they are written once first.
+    """
+    docs = cut_lineage(docs.select(*key, *carry, terms), "tokens")
     tf = term_freq(docs, terms, key, carry)
     vocabulary, rows = fit_vocabulary(tf, docs.count(), min_df, max_df)
     return weigh_terms(tf, vocabulary, key, rows)

@@ -8,10 +8,35 @@ normalises first.
 from __future__ import annotations
 
 from postpulse.functions.labels import PROMPT_HEAD, PROMPT_TAIL
-from postpulse.functions.text import STOPWORDS, WIDE_BLANKS, WORD_PATTERNS
+from postpulse.functions.text import STOPWORDS, WIDE_BLANKS
 
 ORACLES: dict[str, str] = {}
 
+# The published Treebank word-splitting patterns one by one, in
+# their order; marks that are never part of a kept token become a blank.
+TREEBANK_PATTERNS = (
+    (r"[«“‘„`]+", " "),
+    (r"""([ (\[{<])(?:"|'')""", r"\1 "),
+    (r"'([abce-lo-ru-z0-9_])\b", r"' \1"),
+    (r"[:,]([^0-9])", r" \1"),
+    (r"\.\.+", " "),
+    (r"[;@#$%&?!*]", " "),
+    (r"[\[\](){}<>]", " "),
+    (r"--", " "),
+    (r"[»”’]", " "),
+    (r"""(?:''|")""", " '' "),
+    (r"\.(\s)", r"\1"),
+    (r"([^'\s])('s|'m|'d|')\s", r"\1 \2 "),
+    (r"([^'\s])('ll|'re|'ve|n't)\s", r"\1 \2 "),
+    (r"\b(can)(not)\b", r"\1 \2"),
+    (r"\b(gon|wan)(na)\b", r"\1 \2"),
+    (r"\b(got)(ta)\b", r"\1 \2"),
+    (r"\b(gim|lem)(me)\b", r"\1 \2"),
+    (r"\b(d)('ye)\b", r"\1 \2"),
+    (r"\b(more)('n)\b", r"\1 \2"),
+    (r"(\s't)(is|was)\b", r"\1 \2"),
+)
+
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
@@ -21,8 +46,7 @@ def _words(text: str) -> str:
     """The word-splitting patterns as nested SQL replacements."""
     blanks = "".join(f"chr({ord(c)}) || " for c in WIDE_BLANKS)[: -len(" || ")]
     spaced = f"translate(' ' || lower({text}) || ' ', {blanks}, repeat(chr(10), {len(WIDE_BLANKS)}))"
-    for pattern, replacement in WORD_PATTERNS:
-        replacement = replacement.replace("$", "\\")
+    for pattern, replacement in TREEBANK_PATTERNS:
         spaced = f"regexp_replace({spaced}, {_text(pattern)}, {_text(replacement)}, 'g')"
     return spaced
 

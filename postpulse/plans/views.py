@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from postpulse.functions.labels import NO_SENTIMENT
 from postpulse.functions.posts import combined_text
 from postpulse.functions.text import normalise_tokens
-from postpulse.session import apply_settings
+from postpulse.session import apply_settings, spread
 from postpulse.sources.schemas import LISTING_SCHEMA
 
 ANALYSIS = "src0"
@@ -65,7 +65,8 @@ class Tables:
         body = F.col("content")
         for found, written in ((" and ", " don't "), (" of ", " it's "), (" to ", " cannot ")):
             body = F.replace(body, F.lit(found), F.lit(written))
-        return self.posts().select("subreddit", "ID", "date", combined_text("title", body).alias("text"))
+        posts = spread(self.posts(), "ID")
+        return posts.select("subreddit", "ID", "date", combined_text("title", body).alias("text"))
 
     def docs(self) -> DataFrame:
         """``subreddit, ID, date, tokens``."""
@@ -138,7 +139,7 @@ class Tables:
             .when(token.endswith("s"), "NNS")
             .otherwise("NN")
         )
-        words = self.docs().select(F.explode("tokens").alias("token")).distinct()
+        words = self.docs().select(F.explode_outer("tokens").alias("token")).filter(token.isNotNull()).distinct()
         lemma = F.regexp_replace("token", "(.)(ing|est|ly|th|s)$", "$1")
         return words.select("token", tag.alias("tag"), lemma.alias("lemma"))
 
