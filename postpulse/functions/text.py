@@ -48,6 +48,8 @@ _ASCII_BLANKS = r"\n\t\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0"
 _SEPARATOR = (
     rf"(?:[{_ASCII_BLANKS};@#$%&?!*\[\](){{}}<>«»`]|[“”‘’„\u2000-\u200a\u1680\u2028\u2029\u202f\u205f\u3000])"
 )
+_NEGATION = "n't(?:'[smd]?)? "
+_END = rf"(?:\b|{_NEGATION})"  # where a contracted word ends, before or after its negation is split off
 _LONE_LETTER = "[abce-lo-ru-z0-9_]"
 WORD_PATTERNS = (
     # an opening quotation mark goes, any other becomes a token of its own
@@ -62,9 +64,10 @@ WORD_PATTERNS = (
     ),
     # a blank before a clitic, and inside contracted words
     (
-        r"(?=['ntmiw])(?:(?='(?:[smd]|ll|re|ve)? )(?<=[^' ])|(?=n't )(?<=[^' ])|(?=not\b)(?<=\bcan)"
-        r"|(?=na\b)(?<=\b(?:gon|wan))|(?=ta\b)(?<=\bgot)|(?=me\b)(?<=\b(?:gim|lem))"
-        r"|(?='ye\b)(?<=\bd)|(?='n\b)(?<=\bmore)|(?=(?:is|was)\b)(?<= 't))",
+        rf"(?=['ntmiw])(?:(?='(?:[smd]|(?:ll|re|ve)(?:'[smd]?)?)? )(?<=[^' ])|(?={_NEGATION})(?<=[^' ])"
+        rf"|(?=not{_END})(?<=\bcan)|(?=na{_END})(?<=\b(?:gon|wan))|(?=ta{_END})(?<=\bgot)"
+        rf"|(?=me{_END})(?<=\b(?:gim|lem))|(?='ye{_END})(?<=\bd)|(?='n{_END})(?<=\bmore)"
+        rf"|(?=(?:is|was){_END})(?<= 't))",
         " ",
     ),
 )
