@@ -2,7 +2,6 @@ import math
 
 import pytest
 from conftest import values
-from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -49,7 +48,7 @@ def test_document_frequency_bounds(docs):
 def test_pipeline_features_equal_the_tables(docs, ngram_max, min_df, max_df):
     grams = docs.withColumn("tokens", ngrams("tokens", ngram_max))
     table = {(r["ID"], r["term"]): r["weight"] for r in features.tfidf(grams, min_df=min_df, max_df=max_df).collect()}
-    model = Pipeline(stages=learning.feature_stages(ngram_max, min_df, max_df)).fit(docs)
+    model = learning.fit_features(docs, ngram_max, min_df, max_df)
     vocabulary = model.stages[1].vocabulary
     vectors = model.transform(docs).select("ID", vector_to_array("features").alias("v")).collect()
     got = {(r["ID"], vocabulary[i]): x for r in vectors for i, x in enumerate(r["v"]) if x}
@@ -89,6 +88,14 @@ def test_models_train_save_and_load(spark, docs, tmp_path):
         learning.classifier("LSTM", {}, 1)
 
 
+def test_an_oversized_vocabulary_is_refused(docs, monkeypatch):
+    monkeypatch.setattr(learning, "MAX_VOCABULARY", 5)
+    with pytest.raises(ValueError, match="vocabulary"):
+        learning.fit_features(docs)
+    with pytest.raises(ValueError, match="no term"):
+        learning.fit_features(docs, min_df=1000)
+
+
 def test_drawn_settings_differ():
     grid = learning.PARAM_GRIDS["GBDT"]
     size = math.prod(len(v) for v in grid.values())
