@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postpulse.llm import decontaminate, mixing, ngram_join, quality, substring_dedup
+from postpulse.llm import (
+    decontaminate,
+    html_text,
+    language,
+    licences,
+    mixing,
+    neighbours,
+    ngram_join,
+    quality,
+    revisits,
+    substring_dedup,
+)
 from postpulse.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +63,110 @@ def op8_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
     found = substring_dedup.remove_passages(table(spark, directory, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("factors").alias("n_factors"))
+
+
+@query
+def op3_language_profiles(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    found = language.identify(documents, language.learn(documents.filter(fold(3) != 1)))
+    return found.select("doc_id", (F.coalesce(fold(3), F.lit(0)) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_nearest_neighbours(spark: SparkSession, directory: str) -> DataFrame:
+    points = neighbours.vectors(table(spark, directory, "embeddings"))
+    return neighbours.search(points, points.filter("vec_id % 20 = 0"))
+
+
+@query
+def op1_licence_scan(spark: SparkSession, directory: str) -> DataFrame:
+    found = licences.scan(table(spark, directory, "documents"))
+    return found.withColumn("containment", F.round("containment", 6))
+
+
+@query
+def op2_html_main_text(spark: SparkSession, directory: str) -> DataFrame:
+    return html_text.extract(table(spark, directory, "pages"))
+
+
+def captures(spark: SparkSession, directory: str) -> DataFrame:
+    """Every page as a full response and as a later capture by another spelling of its URL.
+
+    The tables hold no revisits, so these follow from the page number: most
+    repeat the page's validators, every fifth has another entity tag, every
+    seventh only a date, and every eleventh came before its response.
+    """
+    pages = table(spark, directory, "pages")
+    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    start = F.expr("timestamp_seconds(1700000000 + page_id * 60)")
+    modified = F.concat(F.lit("day "), (F.col("page_id") % 28).cast("string"))
+    full = pages.select(
+        F.concat(F.lit("r"), F.col("page_id").cast("string")).alias("record_id"),
+        "url",
+        start.alias("date"),
+        F.lit(revisits.RESPONSE).alias("kind"),
+        F.create_map(
+            *[F.lit("ETag"), tag, F.lit("Last-Modified"), modified, F.lit("Content-Type"), F.lit("text/html"), F.lit("Cache-Control"), F.lit("max-age=60")]
+        ).alias("headers"),
+    )
+    again = F.when(F.col("page_id") % 5 == 0, F.lit('"changed"')).otherwise(F.concat(F.lit("W/"), tag))
+    own = F.create_map(F.lit("Last-Modified"), modified, F.lit("Cache-Control"), F.concat(F.lit("max-age="), F.col("page_id").cast("string")), F.lit("Content-Type"), F.lit("none"))
+    later = pages.select(
+        F.concat(F.lit("v"), F.col("page_id").cast("string")).alias("record_id"),
+        F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")).alias("url"),
+        (start + F.when(F.col("page_id") % 11 == 0, F.expr("interval -30 seconds")).otherwise(F.expr("interval 2 days"))).alias("date"),
+        F.lit(revisits.REVISIT).alias("kind"),
+        F.when(F.col("page_id") % 7 == 0, own).otherwise(F.map_concat(own, F.create_map(F.lit("etag"), again))).alias("headers"),
+    )
+    return full.union(later)
+
+
+@query
+def op10_revisit_resolution(spark: SparkSession, directory: str) -> DataFrame:
+    found = revisits.resolve(captures(spark, directory))
+    entries = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.select("record_id", "url", "status", "response_id", F.array_join(entries, "\n").alias("headers"))
+
+
+ORACLES["op10_revisit_resolution"] = r"""
+with parts as (
+    select page_id, html, regexp_replace(url, '#.*$', '') as plain from pages
+), split as (
+    select page_id, html, regexp_replace(trim(plain), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as rest from parts
+), pieces as (
+    select page_id, html,
+        regexp_replace(regexp_replace(regexp_replace(
+            lower(regexp_extract(regexp_replace(rest, '\?.*$', ''), '^([^/]*)', 1)), '^.*@', ''), ':(80|443)$', ''), '^www\.', '') as host,
+        regexp_replace(regexp_extract(regexp_replace(rest, '\?.*$', ''), '^[^/]*(.*)$', 1), '/+$', '') as path,
+        list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+            lambda p: p <> '' and not regexp_matches(p, '^(utm_[^=]*|fbclid|gclid|ref)(=|$)'))) as params
+    from split
+), named as (
+    select page_id, html, host || path || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end as url from pieces
+), full_ as (
+    select 'r' || page_id as id, url, 1700000000 + page_id * 60 as at, page_id % 28 as day, md5(html) as tag from named
+), again as (
+    select 'v' || page_id as record_id, page_id, url, page_id % 28 as day, md5(html) as tag,
+        1700000000 + page_id * 60 + case when page_id % 11 = 0 then -30 else 172800 end as at
+    from named
+), joined as (
+    select a.record_id, a.page_id, a.url, a.day, a.tag,
+        arg_max(struct_pack(id := f.id, day := f.day, tag := f.tag), (f.at, f.id)) as f
+    from again a left join full_ f on f.url = a.url and (f.at < a.at or (f.at = a.at and f.id < a.record_id))
+    group by all
+), judged as (
+    select *, case
+        when f.id is null then 'missing'
+        when page_id % 7 = 0 then case when f.day = day then 'resolved' else 'mismatch' end
+        when page_id % 5 = 0 then 'mismatch'
+        when f.tag = tag then 'resolved' else 'mismatch' end as status
+    from joined
+)
+select record_id, url, status, case when status = 'resolved' then f.id end as response_id,
+    'cache-control: max-age=' || page_id || chr(10)
+    || case when status = 'resolved' then 'content-type: text/html' else 'content-type: none' end
+    || case when page_id % 7 <> 0 then chr(10) || 'etag: ' || case when page_id % 5 = 0 then '"changed"' else 'W/"' || tag || '"' end
+        when status = 'resolved' then chr(10) || 'etag: "' || f.tag || '"' else '' end
+    || chr(10) || 'last-modified: day ' || day as headers
+from judged
+"""
