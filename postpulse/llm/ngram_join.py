@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from postpulse.llm.components import components
 from postpulse.llm.tables import slices, stored, text_bytes
@@ -39,7 +40,9 @@ from postpulse.llm.words import BASE, Words, mixed, rolling, split
 # N-grams whose estimated frequency is sent to every task (8 bytes and a count each).
 DICTIONARY = 1 << 18
 # N-grams gathered in a task before repeated ones are counted.
-GATHERED = 1 << 22
+GATHERED = 1 << 21
+# Assumed posting list length of an n-gram outside the dictionary.
+UNLISTED = 1.2
 # Prefix extensions that a document chooses from.
 EXTENSIONS = (1, 2, 3, 4, 6, 8)
 
@@ -122,19 +125,20 @@ def choose_extension(frequencies: np.ndarray, base: int, n: int) -> int:
     """The l with the lowest estimated cost for one document.
 
     ``frequencies`` are the estimated posting list lengths in prefix order and
-    ``base`` the prefix length for l = 1.  Reading costs the sum of the lists.
-    A document that shares l n-grams lies in at least one list other than the
-    l - 1 longest, so the remaining lists bound the candidates, each of which
-    costs a comparison of n n-grams.
+    ``base`` the prefix length for l = 1.  Reading costs the sum of the lists.  A
+    document that shares l n-grams lies in l of the lists, so their other entries
+    divided by l bound the candidates; it also lies in one list other than the
+    l - 1 longest, so these entries bound them too.  Each candidate costs a
+    comparison of n n-grams.
     """
     best, cost = 1, math.inf
     for extension in EXTENSIONS:
         length = base + extension - 1
         if length > len(frequencies):
             break
-        lists = np.sort(frequencies[:length])
-        candidates = lists[: length - extension + 1].sum() - (length - extension + 1)
-        now = lists.sum() + candidates * n
+        others = np.sort(frequencies[:length] - 1)
+        candidates = min(others.sum() / extension, others[: length - extension + 1].sum())
+        now = length + others.sum() + candidates * n
         if now < cost:
             best, cost = extension, now
     return best
@@ -156,7 +160,7 @@ def _postings(rule: Rule, grams: np.ndarray, times: np.ndarray):
                 if node is None or node in seen:
                     continue
                 seen.add(node)
-                frequency = np.ones(n, np.int64)
+                frequency = np.full(n, UNLISTED)
                 if len(grams):
                     where = np.minimum(np.searchsorted(grams, found), len(grams) - 1)
                     hit = grams[where] == found
@@ -222,9 +226,43 @@ def _dictionary(summary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], top.column("times").to_numpy()[order]
 
 
-def _possible(rule: Rule, n: str, m: str, rest: str) -> str:
-    """SQL: sets of sizes n and m can still reach the overlap with ``rest`` shared at most."""
-    return f"({rest}) * {100 + rule.percent} >= {rule.percent} * ({n} + {m})"
+def _possible(rule: Rule, n: str, m: str, most: str) -> str:
+    """SQL: sets of sizes n and m can link if they share ``most`` n-grams at most."""
+    return f"({most}) * {100 + rule.percent} >= {rule.percent} * ({n} + {m})"
+
+
+def _lists(texts: DataFrame, rule: Rule, grams: np.ndarray, times: np.ndarray) -> DataFrame:
+    """(gram, node, n, at, reach, most): postings that can still belong to a link.
+
+    An n-gram of a prefix that no other prefix has is dead.  Before an n-gram that
+    two prefixes share, a dead one cannot be in the other set (it would be in its
+    prefix), so ``most`` = n minus the dead n-grams before bounds the overlap of
+    any pair that meets here.  Postings go whose bound is too low for every
+    partner in their list, and nodes with fewer postings than any partner asks for.
+    """
+    postings = texts.select("text").mapInArrow(_postings(rule, grams, times), "gram long, node binary, n int, at int, reach int")
+    postings = stored(postings, "postings")
+    key = F.xxhash64("node")
+    shared = postings.groupBy("gram").agg(F.min(key).alias("a"), F.max(key).alias("b")).filter("a <> b").select("gram")
+    # copies of a set have equal rows, so the group's only row is any of them
+    alive = (
+        postings.join(shared.hint("merge"), "gram")
+        .groupBy("gram", "node")
+        .agg(F.first("n").alias("n"), F.first("at").alias("at"), F.first("reach").alias("reach"))
+    )
+    place = F.row_number().over(Window.partitionBy("node").orderBy("at")) - 1
+    alive = stored(alive.withColumn("most", F.col("n") - F.col("at") + place), "lists")
+    least = alive.groupBy("gram").agg(F.min("n").alias("least_n"), F.min("reach").alias("least_reach"))
+    alive = alive.join(least.hint("merge"), "gram").filter(_possible(rule, "n", "least_n", "most"))
+    own = Window.partitionBy("node")
+    alive = alive.withColumn("postings", F.count("*").over(own)).withColumn("asked", F.min("least_reach").over(own))
+    return stored(alive.filter("postings >= asked").select("gram", "node", "n", "at", "reach", "most"), "live-lists")
+
+
+def _pairs(matches: DataFrame) -> DataFrame:
+    """Pairs (u, v) that meet in as many lists as the smaller of their extensions asks."""
+    counted = matches.groupBy("u", "v").agg(F.count("*").alias("matches"), F.first("asked").alias("asked"))
+    return counted.filter("matches >= asked").select("u", "v")
 
 
 def link(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -240,73 +278,46 @@ def link(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
     texts = text_bytes(documents, ("doc_id", "long"))
     summary = stored(texts.mapInArrow(_summaries(rule.words), "doc_id long, n long, node binary, gram long, times long"), "sets")
     rows = summary.filter("gram is null").select("doc_id", "n", "node")
-    grams, times = _dictionary(summary)
-
-    # lists with at least two different sets
-    postings = texts.select("text").mapInArrow(_postings(rule, grams, times), "gram long, node binary, n int, at int, reach int")
-    postings = stored(postings, "postings")
-    shared = postings.groupBy("gram").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("gram")
-    # copies of a set have equal rows, so the group's only row is any of them
-    postings = (
-        postings.join(shared.hint("merge"), "gram")
-        .groupBy("gram", "node")
-        .agg(F.first("n").alias("n"), F.first("at").alias("at"), F.first("reach").alias("reach"))
-    )
-    postings = stored(postings, "lists")
-
+    lists = _lists(texts, rule, *_dictionary(summary))
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
-    # one hub per list: the set that could overlap most with the rest of the list
-    hubs = postings.groupBy("gram").agg(F.max(F.struct(F.expr("n - at").alias("rest"), "node", "n", "at")).alias("hub"))
+    # sets of the nodes that may be compared
+    compared = lists.select("node").distinct().join(nodes.hint("merge"), "node").select(F.col("node").alias("wanted"), F.col("doc_id").alias("wanted_id"))
+    by_id = texts.join(compared.hint("merge"), F.expr("doc_id <=> wanted_id")).select("wanted", "text")
+    sets = stored(by_id.mapInArrow(_sets(rule.words), "node binary, grams array<long>"), "gram-sets")
+
+    # one hub per list: the set that could overlap most with others
+    hubs = lists.groupBy("gram").agg(F.max(F.struct("most", "node", "n", "reach")).alias("hub"))
     spokes = (
-        postings.join(hubs.hint("merge"), "gram")
+        lists.join(hubs.hint("merge"), "gram")
         .filter("node <> hub.node")
-        .filter(_possible(rule, "n", "hub.n", f"least(n - at, hub.rest) + {max(EXTENSIONS)} - 1"))
-        .select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v"))
-        .distinct()
+        .filter(_possible(rule, "n", "hub.n", "least(most, hub.most)"))
+        .select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v"), F.expr("least(reach, hub.reach)").alias("asked"))
     )
-    spokes = stored(spokes, "spokes")
-    # sets of every node that may be compared
-    compared = postings.select("node").distinct().join(nodes.hint("merge"), "node")
-    by_id = texts.join(compared.select(F.col("node").alias("wanted"), F.col("doc_id").alias("wanted_id")).hint("merge"), F.expr("doc_id <=> wanted_id"))
-    sets = by_id.select("wanted", "text").mapInArrow(_sets(rule.words), "node binary, grams array<long>")
-    sets = stored(sets.dropDuplicates(["node"]), "gram-sets")
-    first = stored(_verified(spokes, sets, rule.percent), "links")
-    joined = stored(components(first), "hub-components")
-
-    # pairs of different components, by their number of shared prefix n-grams
-    placed = postings.join(joined.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = stored(_verified(_pairs(spokes), sets, rule.percent), "links")
+    joined = components(first)
+
+    # then pairs of different components
+    placed = lists.join(joined.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    level = F.greatest(F.lit(1), F.expr(f"at - (n - cast(ceil(n * {rule.percent} / 100.0) as int)) + 1"))
+    placed = stored(placed.withColumn("level", level), "placed")
     open_lists = placed.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("n").alias("least_n")).filter("a <> b")
-    placed = (
-        placed.join(open_lists.select("gram", "least_n").hint("merge"), "gram")
-        # some set of the list must be small enough to be linked in spite of the n-grams before this one
-        .filter(_possible(rule, "n", "least_n", "n - at + reach - 1"))
-        .withColumn("level", F.greatest(F.lit(1), F.expr(f"at - (n - cast(ceil(n * {rule.percent} / 100.0) as int)) + 1")))
-    )
-    placed = stored(placed, "open-lists")
-    x, y = (placed.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "at", "reach", "root", "level")]) for s in "uv")
+    placed = placed.join(open_lists.select("gram", "least_n").hint("merge"), "gram").filter(_possible(rule, "n", "least_n", "most"))
+    x, y = (placed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("gram", "node", "n", "reach", "root", "level", "most")]) for s in "uv")
     matches = x.hint("merge").join(
         y,
-        (x["gram"] == y["gram"])
-        & F.expr("node_u > node_v and root_u <> root_v")
+        F.expr("gram_u = gram_v and node_u > node_v and root_u <> root_v")
         & F.expr("greatest(level_u, level_v) <= least(reach_u, reach_v)")
-        & F.expr(_possible(rule, "n_u", "n_v", "least(n_u - at_u, n_v - at_v) + least(reach_u, reach_v) - 1")),
-    )
-    pairs = (
-        matches.groupBy(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
-        .agg(F.count("*").alias("matches"), F.first(F.expr("least(reach_u, reach_v)")).alias("asked"))
-        .filter("matches >= asked")
-        .select("u", "v")
+        & F.expr(_possible(rule, "n_u", "n_v", "least(most_u, most_v)")),
     )
-    second = _verified(stored(pairs, "pairs"), sets, rule.percent)
-    links = stored(first.select("u", "v").union(second), "all-links")
-    placed = components(links)
-    named = placed.join(nodes.hint("merge"), "node")
+    matches = matches.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), F.expr("least(reach_u, reach_v)").alias("asked"))
+    second = _verified(_pairs(matches), sets, rule.percent)
+    links = stored(first.union(second), "all-links")
+
+    named = components(links).join(nodes.hint("merge"), "node")
     roots = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     member = named.select("node", "root").join(roots.hint("merge"), "root").select("node", "component_id")
-    alone = nodes.join(member.hint("merge"), "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    alone = alone.select(F.col("node").alias("of"), "component_id")
-    return (
-        rows.join(alone.hint("merge"), F.expr("node = of"), "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    placed = nodes.join(member.hint("merge"), "node", "left").select(F.col("node").alias("of"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(placed.hint("merge"), F.expr("node = of"), "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
