@@ -107,6 +107,10 @@ class _Tree(HTMLParser):
 
 
 def parse(html: str) -> Node:
+    # a comment without end hides the rest of the page, but not one inside a script
+    at, low = html.rfind("<!--"), html.lower()
+    if at >= 0 and html.find("-->", at) < 0 and low.rfind("<script", 0, at) <= low.rfind("</script", 0, at):
+        html = html[:at]
     tree = _Tree()
     tree.feed(html)
     tree.close()
