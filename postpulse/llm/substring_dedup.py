@@ -36,7 +36,9 @@ from postpulse.llm.tables import slices, text_bytes
 from postpulse.llm.words import Words, mixed, split
 
 # Words of one reference block that are indexed before its windows are sent on.
-BLOCK_WORDS = 1 << 22
+BLOCK_WORDS = 1 << 20
+# Sorted rows that are settled together.
+GROUP_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -212,7 +214,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = batch.filter(pc.invert(settled))
         held.append(batch)
         size += batch.num_rows
-        if size >= 100_000:
+        if size >= GROUP_ROWS:
             yield from work(held)
             held, size = [], 0
     if held:
