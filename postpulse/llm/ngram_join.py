@@ -14,7 +14,8 @@ links; the estimate only decides how long the posting lists are.
 Documents with equal sets are one node from the start.  Posting lists are first
 linked to one hub each, verified exactly, and merged; then only pairs of nodes
 of different components are generated, so a group of thousands of near copies
-is not expanded into all its pairs.  Every pair of nodes that could link is
+is not expanded into all its pairs.  Pairs whose parity sketches differ in more
+bits than linked sets could are left out; the bound is exact.  Every pair of nodes that could link is
 either verified or already connected.
 
 N-grams are compared as 64-bit hashes and sets as 128-bit digests of them.
@@ -41,6 +42,8 @@ from postpulse.llm.words import BASE, Words, mixed, rolling, split
 DICTIONARY = 1 << 18
 # N-grams gathered in a task before repeated ones are counted.
 GATHERED = 1 << 21
+# Words of 64 bits in the parity sketch of a set.
+SKETCH = 8
 # Assumed posting list length of an n-gram outside the dictionary.
 UNLISTED = 1.2
 # Prefix extensions that a document chooses from.
@@ -185,13 +188,21 @@ def _postings(rule: Rule, grams: np.ndarray, times: np.ndarray):
     return run
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parity of the set's n-grams per bit; two sketches differ in at most as many bits as their sets in n-grams."""
+    bits = np.bincount((grams & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(bool), bitorder="little").view(np.int64)
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = gram_sets(batch.column("text").to_pylist(), words)
             rows = [(w, s.view(np.int64)) for w, s in zip(batch.column("wanted").to_pylist(), sets, strict=True) if digest(s) == w]
+            sketches = [sketch(s.view(np.uint64)) for _, s in rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], names=["node", "grams"]
+                [pa.array([w for w, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["node", "grams", "sketch"],
             )
 
     return run
@@ -284,7 +295,7 @@ def link(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
     # sets of the nodes that may be compared
     compared = lists.select("node").distinct().join(nodes.hint("merge"), "node").select(F.col("node").alias("wanted"), F.col("doc_id").alias("wanted_id"))
     by_id = texts.join(compared.hint("merge"), F.expr("doc_id <=> wanted_id")).select("wanted", "text")
-    sets = stored(by_id.mapInArrow(_sets(rule.words), "node binary, grams array<long>"), "gram-sets")
+    sets = stored(by_id.mapInArrow(_sets(rule.words), "node binary, grams array<long>, sketch array<long>"), "gram-sets")
 
     # one hub per list: the set that could overlap most with others
     hubs = lists.groupBy("gram").agg(F.max(F.struct("most", "node", "n", "reach")).alias("hub"))
@@ -303,12 +314,17 @@ def link(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
     placed = stored(placed.withColumn("level", level), "placed")
     open_lists = placed.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("n").alias("least_n")).filter("a <> b")
     placed = placed.join(open_lists.select("gram", "least_n").hint("merge"), "gram").filter(_possible(rule, "n", "least_n", "most"))
-    x, y = (placed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("gram", "node", "n", "reach", "root", "level", "most")]) for s in "uv")
+    # copies of a row with one id and text give equal sketches
+    placed = placed.join(sets.groupBy("node").agg(F.first("sketch").alias("sketch")).hint("merge"), "node")
+    x, y = (placed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("gram", "node", "n", "reach", "root", "level", "most", "sketch")]) for s in "uv")
+    apart = " + ".join(f"bit_count(sketch_u[{i}] ^ sketch_v[{i}])" for i in range(SKETCH))
     matches = x.hint("merge").join(
         y,
         F.expr("gram_u = gram_v and node_u > node_v and root_u <> root_v")
         & F.expr("greatest(level_u, level_v) <= least(reach_u, reach_v)")
-        & F.expr(_possible(rule, "n_u", "n_v", "least(most_u, most_v)")),
+        & F.expr(_possible(rule, "n_u", "n_v", "least(most_u, most_v)"))
+        # linked sets differ in few n-grams, so their sketches in few bits
+        & F.expr(f"({apart}) * {100 + rule.percent} <= {100 - rule.percent} * (n_u + n_v)"),
     )
     matches = matches.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), F.expr("least(reach_u, reach_v)").alias("asked"))
     second = _verified(_pairs(matches), sets, rule.percent)
