@@ -68,10 +68,15 @@ def dedupe_first_seen(listings: DataFrame) -> DataFrame:
     """One row per (source, id): the sighting in the earliest listing and position.
 
     Each task keeps one row per id before the shuffle, so an id repeated in a
-    large share of the rows costs one row per task.  ``listing_rank`` and
+    large share of the rows costs one row per task.  Sightings at the same place,
+    as two dumps of one listing have them, are decided by the newer creation time
+    and then by the text, so the result does not depend on how rows are dealt
+    out.  ``listing_rank`` and
     ``position`` stay in the result: ordered by them, rows are in first-seen order.
     """
-    first = W.partitionBy("subreddit", "id").orderBy("listing_rank", "position")
+    first = W.partitionBy("subreddit", "id").orderBy(
+        "listing_rank", "position", F.desc("created_utc"), "title", "selftext", "listing", "time_filter"
+    )
     return (
         listings.withColumn("listing_rank", listing_rank())
         .withColumn("_seen", F.row_number().over(first))
@@ -103,10 +108,11 @@ def new_posts(posts: DataFrame, stored: DataFrame) -> DataFrame:
     """Posts whose (source, ID) is not stored yet.
 
     Only the two key columns of the stored table are read.  An ID may repeat
-    across sources, so the source is part of the key.
+    across sources, so the source is part of the key.  A missing source or ID
+    equals another missing one, so such posts are not stored twice either.
     """
-    known = stored.select("subreddit", "ID")
-    return posts.join(known, ["subreddit", "ID"], "left_anti")
+    known = stored.select(F.col("subreddit").alias("_source"), F.col("ID").alias("_known"))
+    return posts.join(known, F.expr("subreddit <=> _source AND ID <=> _known"), "left_anti")
 
 
 def only_sources_of(stored: DataFrame, batch: DataFrame, max_sources: int = 1000) -> DataFrame:
@@ -118,4 +124,6 @@ def only_sources_of(stored: DataFrame, batch: DataFrame, max_sources: int = 1000
     names = batch.select("subreddit").distinct().limit(max_sources + 1).collect()
     if len(names) > max_sources:
         return stored
-    return stored.filter(F.col("subreddit").isin([row["subreddit"] for row in names]))
+    known = [row["subreddit"] for row in names if row["subreddit"] is not None]
+    kept = F.col("subreddit").isin(known)
+    return stored.filter(kept | F.col("subreddit").isNull() if len(known) < len(names) else kept)

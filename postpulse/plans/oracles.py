@@ -556,10 +556,4 @@ _DAILY = """SELECT CAST(date AS DATE) AS day, count(*) FILTER (WHERE label = -1)
        count(*) FILTER (WHERE label = 0) AS neu, count(*) FILTER (WHERE label = 1) AS pos
 FROM scored GROUP BY 1"""
 _add("daily_counts", _with(EVENTS) + _DAILY)
-# a day is emitted once its end lies two days or more behind the newest event
-_add(
-    "stream_counts",
-    _with(EVENTS)
-    + f"SELECT * FROM ({_DAILY}) WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY "
-    "<= (SELECT max(date) FROM scored) - INTERVAL 2 DAY",
-)
+_add("stream_counts", _with(EVENTS) + _DAILY)

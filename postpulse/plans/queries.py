@@ -17,7 +17,7 @@ from postpulse.plans.views import ANALYSIS, Tables, scored_event_columns
 from postpulse.session import cut_lineage, scratch_path
 from postpulse.sources import listings as listing_source
 from postpulse.sources import posts as post_source
-from postpulse.streaming import stream_daily_counts, stream_ingest
+from postpulse.streaming import read_daily_counts, store_daily_counts, stream_ingest
 from postpulse.streaming.ingest import read_listing_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,7 +107,8 @@ def read_posts_na(t: Tables) -> DataFrame:
 def read_source_files(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "sources-csv")
     posts = _unlabelled_without_body(t)
-    languages = ("de", "en", "es", "fr")
+    # one file per language, as the sources have one each
+    languages = [row["lang"] for row in posts.select("lang").distinct().orderBy("lang").collect() if row["lang"]]
     for name in languages:
         mine = posts.filter(F.col("lang") == name).drop("lang")
         post_source.export_csv(mine, f"{root}/{name}-posts.csv")
@@ -573,14 +574,5 @@ def stream_counts(t: Tables) -> DataFrame:
     source, sink = scratch_path(t.spark, "events"), scratch_path(t.spark, "daily")
     events.select(*scored_event_columns()).write.parquet(source)
     feed = t.spark.readStream.schema("date timestamp, label int").parquet(source)
-    (
-        stream_daily_counts(feed)
-        .writeStream.format("parquet")
-        .option("path", sink)
-        .option("checkpointLocation", scratch_path(t.spark, "checkpoint"))
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return t.spark.read.schema("day date, neg bigint, neu bigint, pos bigint").parquet(sink)
+    store_daily_counts(feed, sink, scratch_path(t.spark, "checkpoint")).awaitTermination()
+    return read_daily_counts(t.spark, sink)

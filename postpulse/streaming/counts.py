@@ -1,25 +1,59 @@
-"""Rolling class counts per day over a stream of scored posts."""
+"""Class counts per day over a stream of scored posts."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from postpulse.operators.trend import CLASS_COLUMNS
 
+COUNTS_SCHEMA = T.StructType(
+    [T.StructField("day", T.DateType()), *[T.StructField(c, T.LongType()) for c in CLASS_COLUMNS.values()]]
+)
 
-def stream_daily_counts(scored: DataFrame, watermark: str = "2 days", by: Sequence[str] = ()) -> DataFrame:
-    """``by, day, neg, neu, pos`` from ``date, label``; append mode emits a day once it is closed.
 
-    State is one row per open (group, day).  Roll the emitted days up to months
-    with :func:`postpulse.operators.trend.roll_up_months`.
+def stream_daily_counts(scored: DataFrame, watermark: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``by, day, neg, neu, pos`` from ``date, label``.
+
+    State is one row per (group, day).  Without a ``watermark`` no row is late and
+    every day stays open, which update and complete mode report.  With one, append
+    mode emits a day once it is closed, and rows of closed days are left out.
+    Roll days up to months with :func:`postpulse.operators.trend.roll_up_months`.
     """
     counts = [F.count_if(F.col("label") == value).alias(name) for value, name in CLASS_COLUMNS.items()]
-    daily = (
-        scored.withWatermark("date", watermark)
-        .groupBy(*by, F.window("date", "1 day").alias("window"))
-        .agg(*counts)
-    )
+    timed = scored.withWatermark("date", watermark) if watermark else scored
+    daily = timed.groupBy(*by, F.window("date", "1 day").alias("window")).agg(*counts)
     return daily.select(*by, F.to_date(F.col("window.start")).alias("day"), *CLASS_COLUMNS.values())
+
+
+def store_daily_counts(
+    scored: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Keep the counts of all days seen so far below ``path``; by default drain the feed and stop.
+
+    Each micro-batch writes the days it changed into a folder of its own, so a
+    batch repeated after a failure replaces its own rows.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        stream_daily_counts(scored)
+        .writeStream.foreachBatch(write)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def read_daily_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``day, neg, neu, pos``: the latest counts of every day, open or closed."""
+    rows = spark.read.schema(T.StructType([*COUNTS_SCHEMA, T.StructField("batch", T.LongType())])).parquet(path)
+    latest = F.max_by(F.struct(*CLASS_COLUMNS.values()), "batch").alias("c")
+    return rows.groupBy("day").agg(latest).select("day", "c.*")

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.storagelevel import StorageLevel
 
 from postpulse.operators.ingest import dedupe_first_seen, new_posts, only_sources_of, to_posts
 from postpulse.sources.posts import append_posts, read_stored
@@ -30,32 +30,28 @@ def store_batch(batch: DataFrame, table: str) -> None:
     Running the same batch again adds nothing, so a batch repeated after a
     failure is harmless.  Only the directories of the batch's sources are read.
     """
-    posts = to_posts(dedupe_first_seen(batch))
-    stored = read_stored(batch.sparkSession, table)
-    append_posts(new_posts(posts, only_sources_of(stored, batch)), table)
+    # used twice; without this each use would read the landed files again
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        posts = to_posts(dedupe_first_seen(batch))
+        stored = read_stored(batch.sparkSession, table)
+        append_posts(new_posts(posts, only_sources_of(stored, batch)), table)
+    finally:
+        batch.unpersist()
 
 
 def stream_ingest(
     listings: DataFrame,
     table: str,
     checkpoint: str,
-    watermark: str | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Start the ingest query; by default it drains what has landed and stops.
 
     Within a batch the listing priority decides which sighting is kept.  Across
-    batches the stored table does.  A ``watermark`` additionally drops repeats
-    from state before they reach the table; that pass does not know listing
-    priority, so it suits feeds where one listing is landed per batch.
+    batches the stored table does, however old a post is: listings such as "top of
+    all time" bring posts that are years older than the newest.
     """
-    if watermark:
-        timed = listings.withColumn("_seen", F.timestamp_seconds("created_utc"))
-        listings = (
-            timed.withWatermark("_seen", watermark)
-            .dropDuplicatesWithinWatermark(["subreddit", "id"])
-            .drop("_seen")
-        )
     return (
         listings.writeStream.foreachBatch(lambda batch, _: store_batch(batch, table))
         .option("checkpointLocation", checkpoint)

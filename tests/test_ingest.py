@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from postpulse.operators.ingest import dedupe_first_seen, limit_per_listing, new_posts, to_posts, union_listings
 from postpulse.plans import collect
 from postpulse.sources import LISTING_SCHEMA, read_stored, write_listings
-from postpulse.streaming import stream_daily_counts, stream_ingest
+from postpulse.streaming import read_daily_counts, store_daily_counts, stream_daily_counts, stream_ingest
 from postpulse.streaming.ingest import read_listing_stream
 
 ROWS = [
@@ -87,21 +87,30 @@ def test_stream_ingest_equals_batch(spark, frame, tmp_path):
     assert got == [("a", "x", "t top"), ("a", "y", "t"), ("a", "z", "late"), ("b", "x", "other source")]
 
 
-def test_stream_ingest_with_watermark(spark, frame, tmp_path):
+def test_stream_ingest_keeps_old_posts(spark, frame, tmp_path):
+    """A listing of all time brings posts that are years older than those stored before."""
     landed, table = str(tmp_path / "landed"), str(tmp_path / "posts")
-    write_listings(frame(ROWS, LISTING_SCHEMA).coalesce(1), landed)
-    feed = read_listing_stream(spark, landed)
-    stream_ingest(feed, table, str(tmp_path / "ckpt"), watermark="1 day").awaitTermination()
-    assert sorted(values(read_stored(spark, table).select("subreddit", "ID"))) == [("a", "x"), ("a", "y"), ("b", "x")]
+    for created, post in ((1700000000.0, "young"), (1200000000.0, "old")):
+        write_listings(frame([("a", "new", None, 0, post, "t", "b", created)], LISTING_SCHEMA), landed)
+        stream_ingest(read_listing_stream(spark, landed), table, str(tmp_path / "ckpt")).awaitTermination()
+    assert sorted(values(read_stored(spark, table).select("ID"))) == [("old",), ("young",)]
+
+
+def test_posts_without_id_are_stored_once(frame):
+    schema = "subreddit string, ID string"
+    stored = frame([(None, "1"), ("a", None)], schema)
+    assert values(new_posts(frame([(None, "1"), ("a", None), ("a", "1")], schema), stored)) == [("a", "1")]
+
+
+DAY = lambda d, h=0: datetime.datetime(2024, 1, d, h)
 
 
 def test_stream_counts_emit_closed_days(spark, frame, tmp_path):
-    day = lambda d, h=0: datetime.datetime(2024, 1, d, h)
-    rows = [(day(1, 5), -1), (day(1, 6), 1), (day(2), 0), (day(9), 1)]
+    rows = [(DAY(1, 5), -1), (DAY(1, 6), 1), (DAY(2), 0), (DAY(9), 1)]
     frame(rows, "date timestamp, label int").write.parquet(str(tmp_path / "in"))
     feed = spark.readStream.schema("date timestamp, label int").parquet(str(tmp_path / "in"))
     query = (
-        stream_daily_counts(feed)
+        stream_daily_counts(feed, watermark="2 days")
         .writeStream.format("parquet")
         .option("path", str(tmp_path / "out"))
         .option("checkpointLocation", str(tmp_path / "ckpt"))
@@ -110,4 +119,13 @@ def test_stream_counts_emit_closed_days(spark, frame, tmp_path):
     )
     query.awaitTermination()
     got = spark.read.schema("day date, neg bigint, neu bigint, pos bigint").parquet(str(tmp_path / "out"))
-    assert sorted(values(got)) == [(day(1).date(), 1, 0, 1), (day(2).date(), 0, 1, 0)]
+    assert sorted(values(got)) == [(DAY(1).date(), 1, 0, 1), (DAY(2).date(), 0, 1, 0)]
+
+
+def test_stored_counts_take_late_rows(spark, frame, tmp_path):
+    source, sink, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    for rows in ([(DAY(1, 5), -1), (DAY(9), 1)], [(DAY(1, 6), 1)]):
+        frame(rows, "date timestamp, label int").write.mode("append").parquet(source)
+        feed = spark.readStream.schema("date timestamp, label int").parquet(source)
+        store_daily_counts(feed, sink, checkpoint).awaitTermination()
+    assert sorted(values(read_daily_counts(spark, sink))) == [(DAY(1).date(), 1, 0, 1), (DAY(9).date(), 0, 0, 1)]
