@@ -18,7 +18,7 @@ ORACLE_SQL = None
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, does not reject."""
     labels = table(spark, sf_dir, "labels").withColumn("label", F.col("quality"))
-    return quality.keep_good(docs.select(*COLUMNS), quality.fit(docs, labels))
+    return quality.keep_good(docs.select(*COLUMNS), quality.fit(quality.vectors(docs), labels))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,16 +33,21 @@ THRESHOLD = 0.3
 # Width of the log-density range that the logistic curve is fitted on, and its bins.
 RANGE, BINS = 60.0, 1200
 
-_CAPITAL = re.compile(rb"[A-Z]")
-_SYMBOL = re.compile(rb"[#$%&*+/<=>@\\^_`{|}~\[\]]")
-_STOP = re.compile(rb"[.,;:?]")
-_DIGIT = re.compile(rb"[0-9]")
-_LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
+_CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SYMBOLS = rb"#$%&*+/<=>@\^_`{|}~[]"
+_STOPS = b".,;:?"
+_DIGITS = b"0123456789"
+_LETTERS = _CAPITALS + _CAPITALS.lower() + bytes(range(0x80, 0x100))
 _MARKED = re.compile(rb"[#$%&*+/<=>@\\^_`{|}~!]+(?=\s|$)")
 _LOWER = re.compile(rb"(?:^|[.!?]\s+)[a-z]")
 _SENTENCE = re.compile(rb"(?:^|[.!?]\s+)\S")
 
 
+def _count_of(characters: bytes, text: bytes) -> int:
+    """How many bytes of ``text`` are among ``characters``."""
+    return len(text) - len(text.translate(None, characters))
+
+
 def statistics(text: bytes | None) -> np.ndarray:
     """The feature vector of a whole text; a text without words gives a vector of its own."""
     words = (text or b"").split()
@@ -52,7 +57,7 @@ def statistics(text: bytes | None) -> np.ndarray:
     size = len(text)
     lengths = np.fromiter(map(len, words), np.int64, n)
     kinds = Counter(words)
-    letters = len(_LETTER.findall(text))
+    letters = _count_of(_LETTERS, text)
     lines = [x for x in text.split(b"\n") if x.strip()]
     near = lambda count, of: np.sqrt(count / max(of, 1))
     return np.array(
@@ -60,10 +65,10 @@ def statistics(text: bytes | None) -> np.ndarray:
             np.log(n),
             np.log(lengths.mean()),
             np.log1p(lengths.std()),
-            near(len(_CAPITAL.findall(text)), letters),
-            near(len(_DIGIT.findall(text)), size),
-            near(len(_SYMBOL.findall(text)), size),
-            near(len(_STOP.findall(text)), n),
+            near(_count_of(_CAPITALS, text), letters),
+            near(_count_of(_DIGITS, text), size),
+            near(_count_of(_SYMBOLS, text), size),
+            near(_count_of(_STOPS, text), n),
             near(len(_MARKED.findall(text)), n),
             near(kinds.get(b"|", 0), n),
             np.log(len(kinds)) / np.log(n + 1),
@@ -142,8 +147,13 @@ def logistic(x: np.ndarray, ones: np.ndarray, all_: np.ndarray, rounds: int = 60
     return float(max(beta[0], 1e-3)), float(beta[1])
 
 
-def fit(documents: DataFrame, labels: DataFrame, to_pooled: float = 0.1, to_identity: float = 0.01) -> Quality:
-    """Fit on every row of ``documents`` that has a label (doc_id, label 0 or 1).
+def vectors(documents: DataFrame) -> DataFrame:
+    """(doc_id, x) of every row, as a stored table: a text is read and measured once for both fit and score."""
+    return stored(text_bytes(documents, ("doc_id", "long")).mapInArrow(_vectors, "doc_id long, x array<double>"), "vectors")
+
+
+def fit(measured: DataFrame, labels: DataFrame, to_pooled: float = 0.1, to_identity: float = 0.01) -> Quality:
+    """Fit on every row of ``measured`` (see ``vectors``) that has a label (doc_id, label 0 or 1).
 
     Only 2 * (1 + d + d * d) sums and a histogram reach the driver.  Repeated
     equal labels count once, contradicting ones both; other labels and null ids
@@ -151,10 +161,9 @@ def fit(documents: DataFrame, labels: DataFrame, to_pooled: float = 0.1, to_iden
     without any label).
     """
     d = len(FEATURES)
-    vectors = text_bytes(documents, ("doc_id", "long")).mapInArrow(_vectors, "doc_id long, x array<double>")
     known = labels.select(column(labels, "doc_id", "long"), column(labels, "label", "int")).filter("label in (0, 1) and doc_id is not null").distinct()
     known = known.select(F.col("doc_id").alias("of"), "label")
-    training = stored(vectors.join(known, F.expr("doc_id = of")).select("x", "label"), "vectors")
+    training = stored(measured.join(known, F.expr("doc_id = of")).select("x", "label"), "training")
     sums = training.mapInArrow(_moments, "label long, at long, value double").groupBy("label", "at").agg(F.sum("value").alias("value")).toPandas()
     table = np.zeros((2, 1 + d + d * d))
     if len(sums):
@@ -187,18 +196,17 @@ def fit(documents: DataFrame, labels: DataFrame, to_pooled: float = 0.1, to_iden
     return Quality(means, factors, half_logs, slope, offset)
 
 
-def score(documents: DataFrame, model: Quality) -> DataFrame:
-    """(doc_id, score, predicted) of every row; null and empty texts are scored by their (zero) vector."""
+def score(measured: DataFrame, model: Quality) -> DataFrame:
+    """(doc_id, score, predicted) of every row of ``measured``; null and empty texts have a zero vector."""
 
     def run(batches):
-        for batch in slices(batches):
-            x = np.array([statistics(t) for t in batch.column("text").to_pylist()], np.float64).reshape(batch.num_rows, len(FEATURES))
-            value = model.score(x)
+        for batch in batches:
+            value = model.score(batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"]
             )
 
-    return text_bytes(documents, ("doc_id", "long")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return measured.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def keep_good(documents: DataFrame, model: Quality) -> DataFrame:

@@ -37,9 +37,9 @@ def fold(parts: int):
 
 @query
 def op4_quality_discriminant(spark: SparkSession, directory: str) -> DataFrame:
-    documents = table(spark, directory, "documents")
+    measured = quality.vectors(table(spark, directory, "documents"))
     labels = table(spark, directory, "labels").filter(fold(5) != 0).withColumn("label", F.col("quality"))
-    scored = quality.score(documents, quality.fit(documents, labels))
+    scored = quality.score(measured, quality.fit(measured, labels))
     return scored.select("doc_id", (F.coalesce(fold(5), F.lit(1)) == 0).alias("held_out"), "score", "predicted")
 
 

@@ -240,15 +240,15 @@ def test_quality(spark, docs, none):
     bad = [" | ".join(w.upper() + "!!" for w in words(rnd.randrange(5, 90), i)) for i in range(60)]
     rows = [(i, t, int(i < 60)) for i, t in enumerate(good + bad)]
     data = spark.createDataFrame(rows, "doc_id long, text string, label int")
-    model = quality.fit(data, data.filter("doc_id % 5 <> 0").union(data.limit(3)))
-    got = quality.score(data, model).collect()
+    model = quality.fit(quality.vectors(data), data.filter("doc_id % 5 <> 0").union(data.limit(3)))
+    got = quality.score(quality.vectors(data), model).collect()
     assert all(r["predicted"] == int(r["doc_id"] < 60) for r in got)
     kept = quality.keep_good(data, model)
     assert kept.columns == data.columns and kept.count() == 60
-    assert quality.score(docs, model).filter("score between 0 and 1").count() == 17
-    only = quality.fit(data, data.filter("label = 1"))
-    assert quality.score(data, only).filter("score < 0.99").count() == 0
-    assert quality.score(none, quality.fit(none, none)).collect() == []
+    assert quality.score(quality.vectors(docs), model).filter("score between 0 and 1").count() == 17
+    only = quality.fit(quality.vectors(data), data.filter("label = 1"))
+    assert quality.score(quality.vectors(data), only).filter("score < 0.99").count() == 0
+    assert quality.score(quality.vectors(none), quality.fit(quality.vectors(none), none)).collect() == []
 
 
 def test_registered_queries_have_the_contract_columns(spark):
