@@ -16,12 +16,15 @@ def confusion(
     actual: str = "actual",
     predicted: str = "predicted",
 ) -> DataFrame:
-    """``actual`` with one count column per predicted label; zero cells present."""
+    """``actual`` with one count column per predicted label; zero cells present.
+
+    Actual labels outside ``labels`` have a row too; rows without an actual label have none.
+    """
     ordered = sorted(labels)
-    counts = predictions.groupBy(actual).agg(
+    counts = predictions.filter(F.col(actual).isNotNull()).groupBy(actual).agg(
         *[F.count_if(F.col(predicted) == name).alias(name) for name in ordered]
     )
-    return _label_rows(predictions, ordered, actual).join(counts, actual, "left").na.fill(0, ordered)
+    return _label_rows(predictions, ordered, actual).join(counts, actual, "full").na.fill(0, ordered)
 
 
 def confusion_long(

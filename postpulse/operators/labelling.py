@@ -46,7 +46,8 @@ def label_posts(
     Scoring is far slower than reading, so ``partitions`` may spread few large
     input splits over more tasks.
     """
-    ask = F.pandas_udf(scorer, T.StringType())
+    # an answer may vary, so the optimiser must not ask again in filters or planning
+    ask = F.pandas_udf(scorer, T.StringType()).asNondeterministic()
     if partitions:
         posts = posts.repartition(partitions)
     text = combined_text(null_as_nan_text=null_as_nan_text)

@@ -41,8 +41,8 @@ class TrainReport:
 
 
 def label(posts: DataFrame, scorer: Scorer, partitions: int | None = None) -> DataFrame:
-    """Clean posts with a ``sentiment`` column."""
-    return label_posts(posts, scorer, partitions)
+    """Clean posts with a ``sentiment`` column, stored: every post is scored once, whatever reads the labels."""
+    return cut_lineage(label_posts(posts, scorer, partitions), "labels")
 
 
 def tokens_of(

@@ -144,3 +144,9 @@ def test_scores_of_ties_take_the_first_class(frame):
     df = frame([(1.0, 1.0, 0.5), (0.0, 2.0, 2.0), (0.0, 0.0, 1.0)], "a double, b double, c double")
     best = bayes._best_class([F.col(c) for c in "abc"], ["x", "y", "z"])
     assert values(df.select(best.alias("best")), "best") == ["x", "y", "z"]
+
+
+def test_confusion_keeps_unlisted_actual_labels(spark):
+    df = spark.createDataFrame([("a", "other", "neutral"), ("b", None, "neutral")], "ID string, actual string, predicted string")
+    rows = {r["actual"]: r["neutral"] for r in confusion(df).collect()}
+    assert rows == {"negative": 0, "neutral": 0, "positive": 0, "other": 1}

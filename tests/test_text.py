@@ -133,3 +133,23 @@ def test_merge_modes(frame):
 def test_label_numbers(frame):
     df = frame([("positive",), ("neutral",), ("negative",), ("neither",), (None,)], "s string")
     assert values(df.select(label_numeric("s").alias("n")), "n") == [1, 0, -1, None, None]
+
+
+def test_labels_are_stored_and_scored_once(spark):
+    """A scorer whose answers vary: every read of the labelled table sees the same labels."""
+    import random
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from postpulse.plans.train import label
+
+    def vary(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for prompts in batches:
+            yield prompts.map(lambda _: random.choice(["positive", "negative", "neutral"]))
+
+    posts = spark.range(200).selectExpr("'s' as subreddit", "cast(id as string) as ID", "'t' as title", "'c' as content")
+    labelled = label(posts, vary)
+    first = sorted(labelled.filter("sentiment = 'positive'").select("ID").toPandas()["ID"])
+    assert first == sorted(labelled.filter("sentiment = 'positive'").select("ID").toPandas()["ID"])
+    assert labelled.count() == 200
