@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from postpulse.plans.oracles import ORACLES
+from postpulse.plans.queries import QUERIES
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 DATA = "/root/testdata/sf0.001"
@@ -24,16 +26,17 @@ def engine():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, engine, name):
-    ours = entry.queries()[name](spark, DATA).toPandas()
-    theirs = engine.sql(entry.oracle_sql()[name]).df()
+    ours = QUERIES[name](spark, DATA).toPandas()
+    theirs = engine.sql(ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert check.normal(ours) == check.normal(theirs)
 
 
 def test_queries_without_sql_are_the_learned_ones():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"svm_predict", "gbt_predict", "param_search"}
+    assert set(QUERIES) - set(ORACLES) == {"svm_predict", "gbt_predict", "param_search"}
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
