@@ -13,11 +13,14 @@ from postpulse.llm import (
     language,
     licences,
     mixing,
+    near_duplicates,
     neighbours,
     ngram_join,
     quality,
     revisits,
     substring_dedup,
+    token_alignment,
+    vector_codes,
 )
 from postpulse.llm.tables import table
 
@@ -89,6 +92,23 @@ def op2_html_main_text(spark: SparkSession, directory: str) -> DataFrame:
     return html_text.extract(table(spark, directory, "pages"))
 
 
+@query
+def op11_minhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return near_duplicates.link(table(spark, directory, "documents"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, directory: str) -> DataFrame:
+    return token_alignment.align(table(spark, directory, "documents"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, directory: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, directory, "embeddings"))
+    found = vector_codes.with_label_errors(codes)
+    return found.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
 def captures(spark: SparkSession, directory: str) -> DataFrame:
     """Every page as a full response and as a later capture by another spelling of its URL.
 
@@ -170,3 +190,82 @@ select record_id, url, status, case when status = 'resolved' then f.id end as re
     || chr(10) || 'last-modified: day ' || day as headers
 from judged
 """
+
+ORACLES["op11_minhash_near_dedup"] = r"""
+with recursive texts as materialized (
+    select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+    from documents
+), grams as materialized (
+    select doc_id, list_distinct(case
+        when words is null or len(words) = 0 then []
+        when len(words) < 5 then [array_to_string(words, ' ')]
+        else list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) end) as shingles
+    from texts
+), flat as materialized (
+    select doc_id, unnest(shingles) as shingle, len(shingles) as n from grams
+), shared as (
+    select a.doc_id as u, b.doc_id as v, any_value(a.n) as n, any_value(b.n) as m, count(*) as both_
+    from flat a join flat b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all
+), links as materialized (
+    select u, v from shared where 100 * both_ >= 85 * (n + m - both_)
+), edges as materialized (
+    select u, v from links union all select v, u from links
+), reach(node, root) as (
+    select u, u from edges
+    union
+    select e.v, r.root from reach r join edges e on e.u = r.node where r.root < e.v
+), least as (
+    select node, min(root) as root from reach group by node
+)
+select doc_id, len(shingles) as n_shingles, coalesce(root, doc_id) as component_id, coalesce(root, doc_id) = doc_id as kept
+from grams left join least on node = doc_id
+"""
+
+
+def _vector_code_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """The rounds written out one after another, every distance in full."""
+    steps = [
+        """kept as materialized (
+    select vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+    from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), places as (
+    select unnest(range(1, (select max(len(v)) + 1 from kept))) as i
+), flat as materialized (
+    select vec_id, (i - 1) * 4 // len(v) as part, (i - 1) % (len(v) // 4) as position, v[i] as x from kept, places
+), first_ids as (
+    select vec_id, row_number() over (order by vec_id) - 1 as entry from kept qualify entry < 256
+), book0 as materialized (
+    select part, entry, position, x from flat join first_ids using (vec_id)
+)"""
+    ]
+    for step in range(rounds + 1):
+        steps.append(
+            f"""near{step} as materialized (
+    select vec_id, part, min(away * 256 + entry) as best from (
+        select f.vec_id, f.part, b.entry, sum((f.x - b.x) * (f.x - b.x)) as away
+        from flat f join book{step} b using (part, position) group by all)
+    group by all
+)"""
+        )
+        if step < rounds:
+            steps.append(
+                f"""mean{step} as (
+    select part, best % 256 as entry, position, cast(floor(cast(sum(x) as double) / count(*)) as bigint) as x
+    from flat join near{step} using (vec_id, part) group by all
+), book{step + 1} as materialized (
+    select b.part, b.entry, b.position, coalesce(m.x, b.x) as x
+    from book{step} b left join mean{step} m on m.part = b.part and m.entry = b.entry and m.position = b.position
+)"""
+            )
+    return f"""with {", ".join(steps)}, coded as materialized (
+    select vec_id, string_agg(printf('%02x', cast(best % 256 as integer)), '' order by part) as code, cast(sum(best // 256) as bigint) as error
+    from near{rounds} group by vec_id
+)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+    (select sha256(string_agg(cast(x as varchar), ',' order by part, entry, position)) from book{rounds}) as codebooks_sha256
+from coded join kept using (vec_id)
+"""
+
+
+ORACLES["op13_vector_codes"] = _vector_code_sql()
