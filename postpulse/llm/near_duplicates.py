@@ -11,11 +11,11 @@ chunks one holds at most DISTANCE // 4 errors.  Every chunk is therefore indexed
 once for each choice of the values that may be wrong, by the values that are
 left; equal keys are exactly the pairs with few enough errors in some chunk.
 
-Equal sets are one node from the start.  Each node is first compared with the
-node that most of its buckets have as their hub, in full sets, and linked nodes
-are merged; then only pairs of different components are compared that share a
-bucket, lie within the distance, and whose sizes and parity sketches (exact
-bounds) allow a link.  A group of thousands of copies is not expanded into its
+Equal sets are one node from the start.  Nodes are only compared in full if they
+share a bucket, lie within the distance, and their sizes and parity sketches
+(exact bounds) allow a link.  In a few turns each node is compared with the
+nearest of its buckets' hubs, and linked nodes are merged; then all pairs that
+are still of different components are compared.  A group of thousands of copies is not expanded into its
 pairs.  Links are confirmed on full sets.
 
 Shingles are compared as 64-bit hashes and sets as 128-bit digests of them.
@@ -40,6 +40,8 @@ from postpulse.llm.words import mixed
 WORDS, PERCENT = 5, 85
 CHUNKS, WIDTH, BITS = 4, 5, 14
 DISTANCE = 11
+HUB_TURNS, HUBS = 3, 8
+_ENTRY = ("node", "n", "root", "signature", "sketch")
 VALUES = CHUNKS * WIDTH
 ERRORS = DISTANCE // CHUNKS  # the most errors in a pair's best chunk
 LANES = VALUES // 4  # four values to a 64-bit number, 16 bits apart
@@ -134,11 +136,6 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").mapInArrow(_confirmed, "u long, v long")
 
 
-def _sizes_allow(n: str, m: str) -> str:
-    """SQL: sets of these sizes can reach the similarity."""
-    return f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m})"
-
-
 def _differing(u: str, v: str) -> str:
     """SQL: number of values in which two signatures differ.
 
@@ -149,6 +146,37 @@ def _differing(u: str, v: str) -> str:
     return "(" + " + ".join(lanes) + ")"
 
 
+def _may_link(u: str, v: str) -> str:
+    """SQL: two entries of a bucket are of different components and could link, by exact bounds and the distance."""
+    # linked sets differ in few shingles, so their sketches in few bits
+    apart = " + ".join(f"bit_count({u}.sketch[{i}] ^ {v}.sketch[{i}])" for i in range(SKETCH))
+    return (
+        f"{u}.root <> {v}.root and 100 * least({u}.n, {v}.n) >= {PERCENT} * greatest({u}.n, {v}.n)"
+        f" and ({apart}) * {100 + PERCENT} <= {100 - PERCENT} * ({u}.n + {v}.n)"
+        f" and {_differing(f'{u}.signature', f'{v}.signature')} <= {DISTANCE}"
+    )
+
+
+def _open_buckets(entries: DataFrame, joined: DataFrame) -> DataFrame:
+    """Entries with their component as ``root``, of the buckets that hold several components; stored."""
+    placed = entries.drop("root").join(joined.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    placed = stored(placed.withColumn("root", F.coalesce("root", "node")).drop("of"), "placed")
+    several = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+    return placed.join(several.hint("merge"), "key")
+
+
+def _hub_pairs(entries: DataFrame, turn: int) -> DataFrame:
+    """(u, v): every entry's node with the nearest of its buckets' hubs that it may link to.
+
+    A bucket has at most ``HUBS`` hubs, others in each turn.
+    """
+    slot, order = (F.xxhash64("node", F.lit(x)) for x in (turn, -1 - turn))
+    hubs = entries.groupBy("key", F.pmod(slot, F.lit(HUBS)).alias("slot")).agg(F.max(F.struct(order.alias("order"), *_ENTRY)).alias("v"))
+    met = entries.select("key", F.struct(*_ENTRY).alias("u")).join(hubs.select("key", "v").hint("merge"), "key").filter(_may_link("u", "v"))
+    nearest = F.min(F.struct(F.expr(_differing("u.signature", "v.signature")).alias("distance"), F.col("v.node").alias("v")))
+    return met.groupBy(F.col("u.node").alias("u")).agg(nearest.alias("nearest")).select("u", "nearest.v")
+
+
 def link(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``documents`` (doc_id, text).
 
@@ -166,47 +194,34 @@ def link(documents: DataFrame) -> DataFrame:
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     postings = stored(nodes.select("node", "n", "signature").mapInArrow(_keys, "key long, node long, n long"), "postings")
-    largest = F.max(F.struct("n", "node"))
-    hubs = postings.groupBy("key").agg(largest.alias("hub"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("key", "hub")
-    shared = stored(postings.join(hubs.hint("merge"), "key").select("key", "node", "n", "hub"), "shared")
+    several = postings.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = stored(postings.join(several.hint("merge"), "key"), "shared")
 
     compared = shared.select("node").distinct().join(nodes.hint("merge"), "node").select("node", "row.doc_id", "row.mark")
     fetched = texts.join(compared.hint("merge"), (texts["doc_id"].eqNullSafe(compared["doc_id"])) & (texts["mark"] == compared["mark"])).select("node", "text")
     sets = stored(fetched.mapInArrow(_sets, "node long, grams array<long>, sketch array<long>"), "shingle-sets")
 
-    # every node against the hub that most of its buckets have
-    votes = shared.filter("node <> hub.node").filter(_sizes_allow("n", "hub.n")).groupBy("node", "hub.node").agg(F.count("*").alias("votes")).toDF("u", "v", "votes")
-    chosen = votes.groupBy("u").agg(F.max(F.struct("votes", "v")).alias("best")).select("u", "best.v")
-    first = stored(_links(chosen, sets), "links")
-    joined = stored(components(first), "joined")
-
-    # then pairs of different components
-    placed = shared.select("key", "node", "n").join(joined.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = stored(placed, "placed")
-    roots = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    placed = placed.join(roots.hint("merge"), "key")
     # where adaptive execution split a row's repeats over tasks, its set is there more than once
     sketches = sets.groupBy("node").agg(F.first("sketch").alias("sketch"))
     known = nodes.select("node", "signature").join(sketches.hint("merge"), "node")
-    placed = placed.join(known.hint("merge"), "node")
-    x, y = (placed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "node", "n", "root", "signature", "sketch")]) for s in "uv")
-    apart = " + ".join(f"bit_count(sketch_u[{i}] ^ sketch_v[{i}])" for i in range(SKETCH))
-    met = x.hint("merge").join(
-        y,
-        F.expr("key_u = key_v and node_u < node_v and root_u <> root_v")
-        & F.expr(_sizes_allow("n_u", "n_v"))
-        # linked sets differ in few shingles, so their sketches in few bits
-        & F.expr(f"({apart}) * {100 + PERCENT} <= {100 - PERCENT} * (n_u + n_v)")
-        & F.expr(f"{_differing('signature_u', 'signature_v')} <= {DISTANCE}"),
-    )
+    entries = stored(shared.select("key", "node", "n").join(known.hint("merge"), "node").withColumn("root", F.col("node")), "entries")
+    found = None
+    for turn in range(HUB_TURNS):
+        links = stored(_links(_hub_pairs(entries, turn), sets), "links")
+        found = links if found is None else found.union(links)
+        entries = _open_buckets(entries, stored(components(found), "joined"))
+
+    # then all pairs of different components
+    x, y = (entries.select(F.col("key").alias(f"key_{s}"), F.struct(*_ENTRY).alias(s)) for s in "uv")
+    met = x.hint("merge").join(y, F.expr("key_u = key_v and u.node < v.node") & F.expr(_may_link("u", "v")))
     # a pair that was compared before has one component or is known not to link
-    pairs = met.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
-    links = stored(first.union(_links(pairs, sets)), "all-links")
+    pairs = met.select(F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct()
+    links = stored(found.union(_links(pairs, sets)), "all-links")
 
     named = components(links).join(nodes.select("node", "doc_id").hint("merge"), "node")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     member = named.select("node", "root").join(least.hint("merge"), "root").select("node", "component_id")
     component = nodes.join(member.hint("merge"), "node", "left").select(F.col("set").alias("of"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    found = rows.join(component.hint("merge"), F.col("set") == F.col("of"), "left")
+    named = rows.join(component.hint("merge"), F.col("set") == F.col("of"), "left")
     component_id = F.coalesce("component_id", "doc_id")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
