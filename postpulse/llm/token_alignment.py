@@ -11,16 +11,19 @@ bitmaps over the blocks is putting them side by side, and its document count is
 the sum of their bit counts.  The counts then return to the postings, which hand
 each document its links' scores.
 
-A block is closed at 2^16 documents or :data:`BLOCK_LINKS` links, so its rows and
-the arrays of the last step are bounded.
+A block is closed before 2^16 documents or after :data:`BLOCK_LINKS` links, so its
+rows and the arrays of the last step are bounded.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +38,15 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK_DOCS = 1 << 16
 # Distinct (pair, document) entries after which a block is closed.
 BLOCK_LINKS = 1 << 20
-# Text bytes encoded at once (a longer text is encoded alone).
-ENCODED = 1 << 19
-# Links of one group beyond this are counted per distinct id, not per occurrence.
-GROUP_LINKS = 1 << 16
+# Text bytes and documents handled at once (a longer text is alone).
+BATCH_BYTES, BATCH_DOCS = 1 << 19, 1 << 12
+# Segments remembered in one Python task before the memory is cleared.
+REMEMBERED = 1 << 18
+# Links of one group beyond this are counted per distinct id, not one by one.
+GROUP_LINKS = 1 << 12
+BLANK = "\u2581"
+# A text behind a blank is cut before each blank or line feed that follows a letter, digit or ASCII mark.
+SEGMENT = re.compile(r"[ \n]+[^ \n]*(?:(?<![\w!-~])[ \n]+[^ \n]*)*")
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -48,8 +56,58 @@ def byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+@dataclass(frozen=True)
+class Alignment:
+    """Counts, ``a1,a2|b1;a3|b2,b3``, and the linked pairs (a << 32 | b) with their number of links."""
+
+    n_a: int
+    n_b: int
+    groups: int
+    links: int
+    spelled: str
+    pairs: np.ndarray
+    times: np.ndarray
+
+
+def aligned(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> Alignment:
+    """Both sides spell the same bytes; groups end where tokens of both do."""
+    found: Counter = Counter()
+    spelled, links = [], 0
+    x = y = 0
+    while x < len(a):
+        first_x, first_y = x, y
+        ahead = len(a_bytes[a[x]])  # bytes of A in this group less those of B
+        x += 1
+        while True:
+            if ahead > 0 or x == len(a):
+                ahead -= len(b_bytes[b[y]])
+                y += 1
+            else:
+                ahead += len(a_bytes[a[x]])
+                x += 1
+            if ahead == 0:
+                break
+        left, right = a[first_x:x], b[first_y:y]
+        spelled.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
+        links += len(left) * len(right)
+        if len(left) * len(right) <= GROUP_LINKS:
+            found.update(i << 32 | j for i, j in product(left, right))
+        else:
+            for (i, m), (j, n) in product(Counter(left).items(), Counter(right).items()):
+                found[i << 32 | j] += m * n
+    pairs, times = np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+    return Alignment(len(a), len(b), len(spelled), links, ";".join(spelled), pairs, times)
+
+
 class Pair:
-    """Both tokenizers with the bytes of every id, made inside a task from the files' content."""
+    """Both tokenizers with the bytes of every id, made inside a task from the files' content.
+
+    Neither tokenizer joins characters over the border of a segment: A splits
+    words there before it merges, and B has no piece that goes on after a blank
+    or holds a line feed (which is checked).  So a segment's tokens do not depend
+    on its text, and both sides end a token at its end; alignments are kept per
+    segment.  Other texts are aligned as a whole.
+    """
 
     def __init__(self, a: bytes, b: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,85 +122,57 @@ class Pair:
         for token, number in self.a.get_vocab().items():
             # specials are never produced and keep their own spelling
             self.a_bytes[number] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
-        self.b_bytes = []
-        for number in range(self.b.get_piece_size()):
-            piece = self.b.id_to_piece(number)
-            self.b_bytes.append(bytes([int(piece[3:-1], 16)]) if self.b.is_byte(number) else piece.replace("▁", " ").encode())
-        self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
-        self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
-        numbers = max(len(self.a_bytes), len(self.b_bytes))
-        self.stride = numbers
-        self.spelled = [f"{i}{end}" for end in ",|;" for i in range(numbers)]
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Per text the ids of both sides; None where they do not spell a blank and the text."""
-        result: list = [None] * len(texts)
-        full = [i for i, t in enumerate(texts) if t]
-        a = self.a.encode_batch_fast([" " + texts[i] for i in full], add_special_tokens=False)
-        b = self.b.encode([texts[i] for i in full], num_threads=1)
-        for i, x, y in zip(full, a, b, strict=True):
-            ids, whole = x.ids, (" " + texts[i]).encode()
-            if b"".join(map(self.a_bytes.__getitem__, ids)) == whole and b"".join(map(self.b_bytes.__getitem__, y)) == whole:
-                result[i] = ids, y
+        pieces = [self.b.id_to_piece(number) for number in range(self.b.get_piece_size())]
+        self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
+        self.prefix = self.b.piece_to_id(BLANK)
+        self.by_segment = not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in pieces)
+        self.segments: dict[str, int] = {}
+        self.known: list[Alignment | None] = []
+
+    def whole(self, text: str) -> Alignment | None:
+        """The alignment of a blank and the text; None if a side does not spell it back."""
+        a = self.a.encode(" " + text, add_special_tokens=False).ids
+        b = self.b.encode(text)
+        spelled = (" " + text).encode()
+        if self.spells(a, self.a_bytes, spelled) and self.spells(b, self.b_bytes, spelled):
+            return aligned(a, b, self.a_bytes, self.b_bytes)
+        return None
+
+    @staticmethod
+    def spells(ids: list[int], table: list[bytes], wanted: bytes) -> bool:
+        return b"".join(map(table.__getitem__, ids)) == wanted
+
+    def learn(self, segments: list[str]) -> None:
+        """Align segments not met before; None marks one that is not spelled back."""
+        encoded = self.a.encode_batch_fast(segments, add_special_tokens=False)
+        # B puts a blank before its text: it is the segment's own, or a token to drop
+        pieces = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
+        for segment, x, y in zip(segments, encoded, pieces, strict=True):
+            if segment[0] != " ":
+                y = y[1:] if y[:1] == [self.prefix] else []
+            spelled = segment.encode()
+            good = self.spells(x.ids, self.a_bytes, spelled) and self.spells(y, self.b_bytes, spelled)
+            self.segments[segment] = len(self.known)
+            self.known.append(aligned(x.ids, y, self.a_bytes, self.b_bytes) if good else None)
+
+    def align(self, texts: list[str | None]) -> list[list[Alignment]]:
+        """Per text its parts in order; none where there are no tokens."""
+        if len(self.segments) > REMEMBERED:
+            self.segments, self.known = {}, []
+        cut = [SEGMENT.findall(" " + t) if t and self.by_segment and BLANK not in t else [] for t in texts]
+        unknown = list(dict.fromkeys(s for c in cut for s in c if s not in self.segments))
+        if unknown:
+            self.learn(unknown)
+        result = []
+        for text, segments in zip(texts, cut, strict=True):
+            parts = [self.known[n] for n in map(self.segments.__getitem__, segments)]
+            if text and (not parts or None in parts):
+                found = self.whole(text)
+                parts = [found] if found else []
+            result.append(parts)
         return result
 
 
-@dataclass
-class Aligned:
-    """Ids of both sides with the group of each token; groups are numbered from 0."""
-
-    a: np.ndarray
-    b: np.ndarray
-    group_a: np.ndarray
-    group_b: np.ndarray
-    groups: int
-
-    @classmethod
-    def of(cls, a: list[int], b: list[int], pair: Pair) -> Aligned:
-        a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
-        end_a, end_b = np.cumsum(pair.a_sizes[a]), np.cumsum(pair.b_sizes[b])
-        # tokens of no bytes end where the one before ends
-        ends = np.intersect1d(end_a, end_b)
-        return cls(a, b, np.searchsorted(ends, end_a), np.searchsorted(ends, end_b), len(ends))
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.bincount(self.group_a, minlength=self.groups), np.bincount(self.group_b, minlength=self.groups)
-
-    def spelling(self, pair: Pair) -> str:
-        """``a1,a2|b1;a3|b2,b3``."""
-        size_a, size_b = self.counts()
-        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
-        mark_a, mark_b = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
-        mark_a[end_a - 1], mark_b[end_b - 1] = 1, 2
-        place_a = np.arange(len(self.a)) + (end_b - size_b)[self.group_a]
-        place_b = np.arange(len(self.b)) + end_a[self.group_b]
-        codes = np.empty(len(self.a) + len(self.b), np.int64)
-        codes[place_a] = self.a + mark_a * pair.stride
-        codes[place_b] = self.b + mark_b * pair.stride
-        return "".join(map(pair.spelled.__getitem__, codes.tolist()))[:-1]
-
-    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a, b, times): the links, some of them summed up."""
-        size_a, size_b = self.counts()
-        product = size_a * size_b
-        small = product <= GROUP_LINKS
-        start_b = np.cumsum(size_b) - size_b
-        # every A token of a small group beside each B token of it
-        use = small[self.group_a]
-        a, group = self.a[use], self.group_a[use]
-        repeats = size_b[group]
-        left = np.repeat(a, repeats)
-        first = np.repeat(start_b[group] - (np.cumsum(repeats) - repeats), repeats)
-        right = self.b[first + np.arange(len(left))]
-        found = [(left, right, np.ones(len(left), np.int64))]
-        start_a = np.cumsum(size_a) - size_a
-        for g in np.flatnonzero(~small):
-            x, times_x = np.unique(self.a[start_a[g] : start_a[g] + size_a[g]], return_counts=True)
-            y, times_y = np.unique(self.b[start_b[g] : start_b[g] + size_b[g]], return_counts=True)
-            found.append((np.repeat(x, len(y)), np.tile(y, len(x)), np.outer(times_x, times_y).ravel()))
-        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
-
-
 def pack(places: np.ndarray, size: int) -> bytes:
     """Sorted places as 16-bit numbers, or as bits of a block of ``size`` documents if that is shorter."""
     if 2 * len(places) <= -(-size // 8):
@@ -183,29 +213,32 @@ class _Block:
     held: int = 0
     parts: list = field(default_factory=list)
 
-    def add(self, aligned: Aligned) -> None:
-        """The document's own pairs: distinct ids side by side, with their number of links."""
-        a, b, times = aligned.links()
-        pairs = a << 32 | b
-        order = np.argsort(pairs, kind="stable")
-        pairs = pairs[order]
-        first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
-        self.parts.append((pairs[first], self.size, np.add.reduceat(times[order], first)))
-        self.held += len(first)
+    def add(self, documents: list[list[Alignment]]) -> None:
+        """Documents get the next places; their parts' links are added up per pair."""
+        flat = [part for parts in documents for part in parts]
+        if flat:
+            place = np.repeat(np.arange(self.size, self.size + len(documents)), [len(parts) for parts in documents])
+            places = np.repeat(place, [len(part.pairs) for part in flat])
+            pairs = np.concatenate([part.pairs for part in flat])
+            times = np.concatenate([part.times for part in flat])
+            order = np.lexsort((pairs, places))
+            places, pairs = places[order], pairs[order]
+            first = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]) | (places[1:] != places[:-1])])
+            self.parts.append((pairs[first], places[first], np.add.reduceat(times[order], first)))
+            self.held += len(first)
+        self.size += len(documents)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         if not self.parts:
             return
-        pairs = np.concatenate([p for p, _, _ in self.parts])
-        places = np.repeat([at for _, at, _ in self.parts], [len(p) for p, _, _ in self.parts])
-        times = np.concatenate([t for _, _, t in self.parts])
+        pairs, places, times = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         order = np.argsort(pairs, kind="stable")  # places stay ascending
         pairs, places, more = pairs[order], places[order], times[order] - 1
         first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
         ends = np.r_[first[1:], len(pairs)]
         highest = np.maximum.reduceat(more, first)
         docs, planes = [], []
-        for start, end, top in zip(first.tolist(), ends.tolist(), highest.tolist()):
+        for start, end, top in zip(first.tolist(), ends.tolist(), highest.tolist(), strict=True):
             at = places[start:end]
             docs.append(pack(at, self.size))
             planes.append([pack(at[more[start:end] >> k & 1 == 1], self.size) for k in range(top.bit_length())])
@@ -227,14 +260,14 @@ class _Block:
 
 
 def _by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """(doc_ids, texts) of about ``ENCODED`` bytes."""
+    """(doc_ids, texts) of about ``BATCH_BYTES`` bytes."""
     ids, texts, held = [], [], 0
     for batch in slices(batches):
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             ids.append(doc_id)
             texts.append(None if text is None else text.decode())
             held += len(text or b"")
-            if held >= ENCODED:
+            if held >= BATCH_BYTES or len(ids) >= BATCH_DOCS:
                 yield ids, texts
                 ids, texts, held = [], [], 0
     if ids:
@@ -246,23 +279,18 @@ def _index(files):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(*files.value)
-        first = TaskContext.get().partitionId() << 32
-        block = _Block(first)
+        block = _Block(TaskContext.get().partitionId() << 32)
         for ids, texts in _by_bytes(batches):
+            if block.size + len(ids) > BLOCK_DOCS or block.held >= BLOCK_LINKS:
+                yield from block.rows()
+                block = _Block(block.number + 1)
+            documents = pair.align(texts)
             rows = []
-            for doc_id, found in zip(ids, pair.encode(texts), strict=True):
-                if block.size == BLOCK_DOCS or block.held >= BLOCK_LINKS:
-                    yield from block.rows()
-                    block = _Block(block.number + 1)
-                if found is None:
-                    rows.append((block.number, block.size, doc_id, 0, 0, 0, 0, ""))
-                else:
-                    aligned = Aligned.of(*found, pair)
-                    size_a, size_b = aligned.counts()
-                    block.add(aligned)
-                    digest = hashlib.sha256(aligned.spelling(pair).encode()).hexdigest()
-                    rows.append((block.number, block.size, doc_id, len(aligned.a), len(aligned.b), aligned.groups, int(size_a @ size_b), digest))
-                block.size += 1
+            for place, (doc_id, parts) in enumerate(zip(ids, documents, strict=True), block.size):
+                digest = hashlib.sha256(";".join(p.spelled for p in parts).encode()).hexdigest() if parts else ""
+                sums = [sum(p.n_a for p in parts), sum(p.n_b for p in parts), sum(p.groups for p in parts), sum(p.links for p in parts)]
+                rows.append((block.number, place, doc_id, *sums, digest))
+            block.add(documents)
             columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), _ROW.types[:8], strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(rows), kind) for kind in _ROW.types[8:]]], schema=_ROW)
         yield from block.rows()

@@ -160,7 +160,7 @@ def test_small_blocks_hold_the_same_links(tokenizers, monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(token_alignment, "BLOCK_LINKS", 30)
-    monkeypatch.setattr(token_alignment, "GROUP_LINKS", 2)
+    monkeypatch.setattr(token_alignment, "BATCH_DOCS", 3)
     monkeypatch.setattr(token_alignment.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 4})())
     monkeypatch.setattr(token_alignment, "Pair", lambda *_: tokenizers)
     table = list(enumerate(TEXTS * 3))
@@ -185,9 +185,22 @@ def test_alignment_of_no_rows(none):  # noqa: F811
     assert token_alignment.align(none).collect() == []
 
 
-def test_group_spelling(tokenizers):
-    aligned = token_alignment.Aligned(np.array([1, 2, 3]), np.array([1, 2, 3]), np.array([0, 0, 1]), np.array([0, 1, 1]), 2)
-    assert aligned.spelling(tokenizers) == "1,2|1;3|2,3"
+@pytest.mark.parametrize("limit", [0, 1 << 12])
+def test_alignment_of_ids(monkeypatch, limit):
+    monkeypatch.setattr(token_alignment, "GROUP_LINKS", limit)
+    a_bytes, b_bytes = [b"", b"a", b"ab", b"c"], [b"", b"aa", b"b", b"bc"]
+    found = token_alignment.aligned([1, 2, 3, 1, 1], [1, 3, 1], a_bytes, b_bytes)
+    assert found.spelled == "1,2,3|1,3;1,1|1" and (found.n_a, found.n_b, found.groups, found.links) == (5, 3, 2, 8)
+    assert dict(zip(found.pairs.tolist(), found.times.tolist())) == {1 << 32 | 1: 3, 1 << 32 | 3: 1, 2 << 32 | 1: 1, 2 << 32 | 3: 1, 3 << 32 | 1: 1, 3 << 32 | 3: 1}
+
+
+@given(st.text(alphabet=" \n\tab,.'é東🙂\u00a0\u200b\u0085\x1c12", max_size=40), st.integers(0, 5))
+def test_segments_give_the_tokens_of_the_text(tokenizers, text, repeat):
+    text = text * repeat
+    parts, whole = tokenizers.align([text])[0], tokenizers.whole(text) if text else None
+    assert tokenizers.by_segment and ("".join(token_alignment.SEGMENT.findall(" " + text)) == " " + text)
+    assert ";".join(p.spelled for p in parts) == (whole.spelled if whole else "")
+    assert sum(p.links for p in parts) == (whole.links if whole else 0)
 
 
 @given(st.sets(st.integers(0, 999), min_size=1))
