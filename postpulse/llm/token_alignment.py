@@ -20,10 +20,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import product
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +40,9 @@ BLOCK_LINKS = 1 << 20
 # Text bytes and documents handled at once (a longer text is alone).
 BATCH_BYTES, BATCH_DOCS = 1 << 19, 1 << 12
 # Segments remembered in one Python task before the memory is cleared.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 # Links of one group beyond this are counted per distinct id, not one by one.
-GROUP_LINKS = 1 << 12
+GROUP_LINKS = 1 << 16
 BLANK = "\u2581"
 # A text behind a blank is cut before each blank or line feed that follows a letter, digit or ASCII mark.
 SEGMENT = re.compile(r"[ \n]+[^ \n]*(?:(?<![\w!-~])[ \n]+[^ \n]*)*")
@@ -56,57 +55,13 @@ def byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-@dataclass(frozen=True)
-class Alignment:
-    """Counts, ``a1,a2|b1;a3|b2,b3``, and the linked pairs (a << 32 | b) with their number of links."""
-
-    n_a: int
-    n_b: int
-    groups: int
-    links: int
-    spelled: str
-    pairs: np.ndarray
-    times: np.ndarray
-
-
-def aligned(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> Alignment:
-    """Both sides spell the same bytes; groups end where tokens of both do."""
-    found: Counter = Counter()
-    spelled, links = [], 0
-    x = y = 0
-    while x < len(a):
-        first_x, first_y = x, y
-        ahead = len(a_bytes[a[x]])  # bytes of A in this group less those of B
-        x += 1
-        while True:
-            if ahead > 0 or x == len(a):
-                ahead -= len(b_bytes[b[y]])
-                y += 1
-            else:
-                ahead += len(a_bytes[a[x]])
-                x += 1
-            if ahead == 0:
-                break
-        left, right = a[first_x:x], b[first_y:y]
-        spelled.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-        links += len(left) * len(right)
-        if len(left) * len(right) <= GROUP_LINKS:
-            found.update(i << 32 | j for i, j in product(left, right))
-        else:
-            for (i, m), (j, n) in product(Counter(left).items(), Counter(right).items()):
-                found[i << 32 | j] += m * n
-    pairs, times = np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
-    return Alignment(len(a), len(b), len(spelled), links, ";".join(spelled), pairs, times)
-
-
 class Pair:
     """Both tokenizers with the bytes of every id, made inside a task from the files' content.
 
     Neither tokenizer joins characters over the border of a segment: A splits
     words there before it merges, and B has no piece that goes on after a blank
     or holds a line feed (which is checked).  So a segment's tokens do not depend
-    on its text, and both sides end a token at its end; alignments are kept per
-    segment.  Other texts are aligned as a whole.
+    on its text and are remembered.  Other texts are encoded as a whole.
     """
 
     def __init__(self, a: bytes, b: bytes):
@@ -124,55 +79,120 @@ class Pair:
             self.a_bytes[number] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         pieces = [self.b.id_to_piece(number) for number in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
         self.prefix = self.b.piece_to_id(BLANK)
         self.by_segment = not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in pieces)
+        self.stride = max(len(self.a_bytes), len(self.b_bytes))
+        self.spelled = [f"{i}{end}" for end in ",|;" for i in range(self.stride)]
         self.segments: dict[str, int] = {}
-        self.known: list[Alignment | None] = []
-
-    def whole(self, text: str) -> Alignment | None:
-        """The alignment of a blank and the text; None if a side does not spell it back."""
-        a = self.a.encode(" " + text, add_special_tokens=False).ids
-        b = self.b.encode(text)
-        spelled = (" " + text).encode()
-        if self.spells(a, self.a_bytes, spelled) and self.spells(b, self.b_bytes, spelled):
-            return aligned(a, b, self.a_bytes, self.b_bytes)
-        return None
-
-    @staticmethod
-    def spells(ids: list[int], table: list[bytes], wanted: bytes) -> bool:
-        return b"".join(map(table.__getitem__, ids)) == wanted
+        self.known: tuple[list[list[int]], list[list[int]]] = [], []
 
     def learn(self, segments: list[str]) -> None:
-        """Align segments not met before; None marks one that is not spelled back."""
-        encoded = self.a.encode_batch_fast(segments, add_special_tokens=False)
+        a = self.a.encode_batch_fast(segments, add_special_tokens=False)
         # B puts a blank before its text: it is the segment's own, or a token to drop
-        pieces = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
-        for segment, x, y in zip(segments, encoded, pieces, strict=True):
-            if segment[0] != " ":
-                y = y[1:] if y[:1] == [self.prefix] else []
-            spelled = segment.encode()
-            good = self.spells(x.ids, self.a_bytes, spelled) and self.spells(y, self.b_bytes, spelled)
-            self.segments[segment] = len(self.known)
-            self.known.append(aligned(x.ids, y, self.a_bytes, self.b_bytes) if good else None)
-
-    def align(self, texts: list[str | None]) -> list[list[Alignment]]:
-        """Per text its parts in order; none where there are no tokens."""
+        b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
+        start = len(self.known[0])
+        self.segments.update(zip(segments, range(start, start + len(segments)), strict=True))
+        self.known[0].extend([x.ids for x in a])
+        self.known[1].extend([y if s[0] == " " else y[y[:1] == [self.prefix] :] for s, y in zip(segments, b, strict=True)])
+
+    def spells(self, ids: tuple[list[int], list[int]], text: str) -> bool:
+        wanted = (" " + text).encode()
+        return all(b"".join(map(table.__getitem__, side)) == wanted for side, table in zip(ids, (self.a_bytes, self.b_bytes), strict=True))
+
+    def whole(self, text: str) -> tuple[list[int], list[int]]:
+        return self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+
+    def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]] | None]:
+        """Per text the ids of both sides; None where they do not spell a blank and the text."""
         if len(self.segments) > REMEMBERED:
-            self.segments, self.known = {}, []
+            self.segments, self.known = {}, ([], [])
         cut = [SEGMENT.findall(" " + t) if t and self.by_segment and BLANK not in t else [] for t in texts]
         unknown = list(dict.fromkeys(s for c in cut for s in c if s not in self.segments))
         if unknown:
             self.learn(unknown)
         result = []
         for text, segments in zip(texts, cut, strict=True):
-            parts = [self.known[n] for n in map(self.segments.__getitem__, segments)]
-            if text and (not parts or None in parts):
-                found = self.whole(text)
-                parts = [found] if found else []
-            result.append(parts)
+            numbers = [self.segments[s] for s in segments]
+            ids = tuple(list(chain.from_iterable([side[n] for n in numbers])) for side in self.known)
+            if text and not (segments and self.spells(ids, text)):
+                ids = self.whole(text)
+                if not self.spells(ids, text):
+                    ids = None
+            result.append(ids if text else None)
         return result
 
 
+@dataclass
+class Aligned:
+    """Tokens of some documents one after another, with the (ascending) number of their group."""
+
+    a: np.ndarray
+    b: np.ndarray
+    group_a: np.ndarray
+    group_b: np.ndarray
+    count_a: np.ndarray
+    count_b: np.ndarray
+    groups: np.ndarray  # per document
+
+    @classmethod
+    def of(cls, documents: list[tuple[list[int], list[int]]], a_sizes: np.ndarray, b_sizes: np.ndarray) -> Aligned:
+        """Every document has tokens, and both sides spell the same bytes: so group ends lie at document ends."""
+        count_a, count_b = (np.array([len(d[side]) for d in documents], np.int64) for side in (0, 1))
+        a, b = (np.fromiter(chain.from_iterable(d[side] for d in documents), np.int64, n) for side, n in ((0, count_a.sum()), (1, count_b.sum())))
+        end_a, end_b = np.cumsum(a_sizes[a]), np.cumsum(b_sizes[b])
+        common = end_b[np.minimum(np.searchsorted(end_b, end_a), len(end_b) - 1)] == end_a
+        ends = end_a[common]
+        last = np.searchsorted(ends, end_a[np.cumsum(count_a) - 1]) + 1
+        return cls(a, b, np.cumsum(common) - common, np.searchsorted(ends, end_b), count_a, count_b, np.diff(np.r_[0, last]))
+
+    def sizes(self) -> tuple[np.ndarray, np.ndarray]:
+        total = int(self.groups.sum())
+        return np.bincount(self.group_a, minlength=total), np.bincount(self.group_b, minlength=total)
+
+    def link_counts(self) -> np.ndarray:
+        """Links per document."""
+        size_a, size_b = self.sizes()
+        return np.add.reduceat(size_a * size_b, np.cumsum(self.groups) - self.groups)
+
+    def spellings(self, pair: Pair) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` per document."""
+        size_a, size_b = self.sizes()
+        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+        mark_a, mark_b = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
+        mark_a[end_a - 1], mark_b[end_b - 1] = 1, 2
+        codes = np.empty(len(self.a) + len(self.b), np.int64)
+        codes[np.arange(len(self.a)) + (end_b - size_b)[self.group_a]] = self.a + mark_a * pair.stride
+        codes[np.arange(len(self.b)) + end_a[self.group_b]] = self.b + mark_b * pair.stride
+        spelled = list(map(pair.spelled.__getitem__, codes.tolist()))
+        ends = np.cumsum(self.count_a + self.count_b).tolist()
+        return ["".join(spelled[start:end])[:-1] for start, end in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, pair, times), sorted and distinct by document and pair (a << 32 | b)."""
+        size_a, size_b = self.sizes()
+        owner = np.repeat(np.arange(len(self.groups)), self.groups)
+        small = size_a * size_b <= GROUP_LINKS
+        start_a, start_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        # every A token of a small group beside each B token of it
+        use = small[self.group_a]
+        group = self.group_a[use]
+        repeats = size_b[group]
+        right = np.arange(repeats.sum()) + np.repeat(start_b[group] - (np.cumsum(repeats) - repeats), repeats)
+        found = [(np.repeat(owner[group], repeats), np.repeat(self.a[use], repeats) << 32 | self.b[right], np.ones(len(right), np.int64))]
+        for g in np.flatnonzero(~small):
+            x, times_x = np.unique(self.a[start_a[g] : start_a[g] + size_a[g]], return_counts=True)
+            y, times_y = np.unique(self.b[start_b[g] : start_b[g] + size_b[g]], return_counts=True)
+            found.append((np.full(len(x) * len(y), owner[g]), np.add.outer(x << 32, y).ravel(), np.outer(times_x, times_y).ravel()))
+        document, pairs, times = (np.concatenate(c) for c in zip(*found, strict=True))
+        # ids have 16 bits or few more: one number sorts faster than two keys
+        stride = int(max(self.a.max(), self.b.max())) + 1
+        key = (document * stride + (pairs >> 32)) * stride + (pairs & 0xFFFFFFFF)
+        order = np.argsort(key)
+        first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+        return document[order][first], pairs[order][first], np.add.reduceat(times[order], first)
+
+
 def pack(places: np.ndarray, size: int) -> bytes:
     """Sorted places as 16-bit numbers, or as bits of a block of ``size`` documents if that is shorter."""
     if 2 * len(places) <= -(-size // 8):
@@ -213,20 +233,11 @@ class _Block:
     held: int = 0
     parts: list = field(default_factory=list)
 
-    def add(self, documents: list[list[Alignment]]) -> None:
-        """Documents get the next places; their parts' links are added up per pair."""
-        flat = [part for parts in documents for part in parts]
-        if flat:
-            place = np.repeat(np.arange(self.size, self.size + len(documents)), [len(parts) for parts in documents])
-            places = np.repeat(place, [len(part.pairs) for part in flat])
-            pairs = np.concatenate([part.pairs for part in flat])
-            times = np.concatenate([part.times for part in flat])
-            order = np.lexsort((pairs, places))
-            places, pairs = places[order], pairs[order]
-            first = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]) | (places[1:] != places[:-1])])
-            self.parts.append((pairs[first], places[first], np.add.reduceat(times[order], first)))
-            self.held += len(first)
-        self.size += len(documents)
+    def add(self, places: np.ndarray, found: Aligned) -> None:
+        """Documents with tokens, at their places in the block."""
+        document, pairs, times = found.links()
+        self.parts.append((pairs, places[document], times))
+        self.held += len(pairs)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         if not self.parts:
@@ -284,15 +295,20 @@ def _index(files):
             if block.size + len(ids) > BLOCK_DOCS or block.held >= BLOCK_LINKS:
                 yield from block.rows()
                 block = _Block(block.number + 1)
-            documents = pair.align(texts)
-            rows = []
-            for place, (doc_id, parts) in enumerate(zip(ids, documents, strict=True), block.size):
-                digest = hashlib.sha256(";".join(p.spelled for p in parts).encode()).hexdigest() if parts else ""
-                sums = [sum(p.n_a for p in parts), sum(p.n_b for p in parts), sum(p.groups for p in parts), sum(p.links for p in parts)]
-                rows.append((block.number, place, doc_id, *sums, digest))
-            block.add(documents)
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), _ROW.types[:8], strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(rows), kind) for kind in _ROW.types[8:]]], schema=_ROW)
+            encoded = pair.encode(texts)
+            full = [i for i, ids_ in enumerate(encoded) if ids_]
+            numbers = np.zeros((4, len(ids)), np.int64)
+            digests = [""] * len(ids)
+            if full:
+                found = Aligned.of([encoded[i] for i in full], pair.a_sizes, pair.b_sizes)
+                numbers[:, full] = found.count_a, found.count_b, found.groups, found.link_counts()
+                for i, spelled in zip(full, found.spellings(pair), strict=True):
+                    digests[i] = hashlib.sha256(spelled.encode()).hexdigest()
+                block.add(block.size + np.array(full), found)
+            place = pa.array(np.arange(block.size, block.size + len(ids)), pa.int32())
+            columns = [pa.array(np.full(len(ids), block.number)), place, pa.array(ids, pa.int64()), *[pa.array(n) for n in numbers], pa.array(digests, pa.string())]
+            block.size += len(ids)
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(ids), kind) for kind in _ROW.types[8:]]], schema=_ROW)
         yield from block.rows()
 
     return run
