@@ -143,7 +143,7 @@ def first_codebooks(points: DataFrame, parts: int = PARTS, entries: int = ENTRIE
 
 
 def _sums(books: Codebooks):
-    """Per task and used entry: how many parts it has, and their sum."""
+    """Per task and used entry: the sum of its parts, and behind it how many they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = [Masks.of(p) for p in books.parts]
@@ -158,22 +158,24 @@ def _sums(books: Codebooks):
             used = np.flatnonzero(count)
             if len(used):
                 part = pa.array(np.full(len(used), number), pa.int32())
-                total = pa.array(list(sums[number][used]), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part, pa.array(used.astype(np.int32)), pa.array(count[used]), total], names=["part", "entry", "n", "total"])
+                total = pa.array(list(np.c_[sums[number][used], count[used]]), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part, pa.array(used.astype(np.int32)), total], names=["part", "entry", "total"])
 
     return run
 
 
 def _moved(points: DataFrame, books: Codebooks) -> Codebooks:
     """Every used entry replaced by the floor of its parts' mean; the result has the codebooks' size."""
-    sums = points.select("point").mapInArrow(_sums(books), "part int, entry int, n long, total array<long>")
-    parts = [p.copy() for p in books.parts]
-    counts = sums.groupBy("part", "entry").agg(F.sum("n").alias("n"))
+    sums = points.select("point").mapInArrow(_sums(books), "part int, entry int, total array<long>")
     spread = sums.select("part", "entry", F.posexplode("total").alias("position", "x"))
-    totals = spread.groupBy("part", "entry", "position").agg(F.sum("x").alias("x"))
-    means = totals.join(F.broadcast(counts), ["part", "entry"])  # a row per entry
-    for part, entry, position, x, n in zip(*means.select("part", "entry", "position", "x", "n").toArrow().to_pydict().values(), strict=True):
-        parts[part][entry, position] = x // n
+    totals = spread.groupBy("part", "entry", "position").agg(F.sum("x").alias("x")).toArrow().to_pydict()
+    parts, counts = [p.copy() for p in books.parts], {}
+    for part, entry, position, x in zip(*totals.values(), strict=True):
+        if position == parts[part].shape[1]:
+            counts[part, entry] = x
+    for part, entry, position, x in zip(*totals.values(), strict=True):
+        if position < parts[part].shape[1]:
+            parts[part][entry, position] = x // counts[part, entry]
     return Codebooks(parts, books.cuts)
 
 
