@@ -13,9 +13,9 @@ left; equal keys are exactly the pairs with few enough errors in some chunk.
 
 Equal sets are one node from the start.  Nodes are only compared in full if they
 share a bucket, lie within the distance, and their sizes and parity sketches
-(exact bounds) allow a link.  In a few turns each node is compared with the
-nearest of its buckets' hubs, and linked nodes are merged; then all pairs that
-are still of different components are compared.  A group of thousands of copies is not expanded into its
+(exact bounds) allow a link.  Each node is compared with a few of its buckets'
+hubs first, and linked nodes are merged; then all pairs that are still of
+different components are compared.  A group of thousands of copies is not expanded into its
 pairs.  Links are confirmed on full sets.
 
 Shingles are compared as 64-bit hashes and sets as 128-bit digests of them.
@@ -40,7 +40,7 @@ from postpulse.llm.words import mixed
 WORDS, PERCENT = 5, 85
 CHUNKS, WIDTH, BITS = 4, 5, 14
 DISTANCE = 11
-HUB_TURNS, HUBS = 3, 8
+HUBS = 16
 _ENTRY = ("node", "n", "root", "signature", "sketch")
 VALUES = CHUNKS * WIDTH
 ERRORS = DISTANCE // CHUNKS  # the most errors in a pair's best chunk
@@ -165,16 +165,18 @@ def _open_buckets(entries: DataFrame, joined: DataFrame) -> DataFrame:
     return placed.join(several.hint("merge"), "key")
 
 
-def _hub_pairs(entries: DataFrame, turn: int) -> DataFrame:
-    """(u, v): every entry's node with the nearest of its buckets' hubs that it may link to.
+def _hub_pairs(entries: DataFrame) -> DataFrame:
+    """(u, v): every node with up to three of its buckets' hubs that it may link to.
 
-    A bucket has at most ``HUBS`` hubs, others in each turn.
+    A bucket has at most ``HUBS`` hubs.  A node takes the nearest, and the first
+    and last in an order that all nodes share: these join the hubs' groups.
     """
-    slot, order = (F.xxhash64("node", F.lit(x)) for x in (turn, -1 - turn))
+    slot, order = (F.xxhash64("node", F.lit(x)) for x in (0, 1))
     hubs = entries.groupBy("key", F.pmod(slot, F.lit(HUBS)).alias("slot")).agg(F.max(F.struct(order.alias("order"), *_ENTRY)).alias("v"))
     met = entries.select("key", F.struct(*_ENTRY).alias("u")).join(hubs.select("key", "v").hint("merge"), "key").filter(_may_link("u", "v"))
-    nearest = F.min(F.struct(F.expr(_differing("u.signature", "v.signature")).alias("distance"), F.col("v.node").alias("v")))
-    return met.groupBy(F.col("u.node").alias("u")).agg(nearest.alias("nearest")).select("u", "nearest.v")
+    distance, hub = F.expr(_differing("u.signature", "v.signature")), F.col("v.node").alias("v")
+    chosen = [F.min(F.struct(distance, hub))["v"], F.min(F.struct("v.order", hub))["v"], F.max(F.struct("v.order", hub))["v"]]
+    return met.groupBy(F.col("u.node").alias("u")).agg(F.array(*chosen).alias("v")).select("u", F.explode(F.array_distinct("v")).alias("v"))
 
 
 def link(documents: DataFrame) -> DataFrame:
@@ -205,18 +207,15 @@ def link(documents: DataFrame) -> DataFrame:
     sketches = sets.groupBy("node").agg(F.first("sketch").alias("sketch"))
     known = nodes.select("node", "signature").join(sketches.hint("merge"), "node")
     entries = stored(shared.select("key", "node", "n").join(known.hint("merge"), "node").withColumn("root", F.col("node")), "entries")
-    found = None
-    for turn in range(HUB_TURNS):
-        links = stored(_links(_hub_pairs(entries, turn), sets), "links")
-        found = links if found is None else found.union(links)
-        entries = _open_buckets(entries, stored(components(found), "joined"))
+    first = stored(_links(_hub_pairs(entries), sets), "links")
+    entries = _open_buckets(entries, stored(components(first), "joined"))
 
     # then all pairs of different components
     x, y = (entries.select(F.col("key").alias(f"key_{s}"), F.struct(*_ENTRY).alias(s)) for s in "uv")
     met = x.hint("merge").join(y, F.expr("key_u = key_v and u.node < v.node") & F.expr(_may_link("u", "v")))
     # a pair that was compared before has one component or is known not to link
     pairs = met.select(F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct()
-    links = stored(found.union(_links(pairs, sets)), "all-links")
+    links = stored(first.union(_links(pairs, sets)), "all-links")
 
     named = components(links).join(nodes.select("node", "doc_id").hint("merge"), "node")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
