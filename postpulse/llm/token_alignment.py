@@ -18,6 +18,7 @@ rows and the arrays of the last step are bounded.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,12 +42,15 @@ BLOCK_LINKS = 1 << 20
 # Text bytes and documents handled at once (a longer text is alone).
 BATCH_BYTES, BATCH_DOCS = 1 << 19, 1 << 12
 # Segments remembered in one Python task before the memory is cleared.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 19
 # Links of one group beyond this are counted per distinct id, not one by one.
 GROUP_LINKS = 1 << 16
 BLANK = "\u2581"
 # A text behind a blank is cut before each blank or line feed that follows a letter, digit or ASCII mark.
 SEGMENT = re.compile(r"[ \n]+[^ \n]*(?:(?<![\w!-~])[ \n]+[^ \n]*)*")
+BEYOND_LATIN = re.compile("[^\\x00-\\u024f]")
+# Fixed value: the published word rule of byte-level vocabularies.
+WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -58,10 +63,12 @@ def byte_level_alphabet() -> dict[str, int]:
 class Pair:
     """Both tokenizers with the bytes of every id, made inside a task from the files' content.
 
-    Neither tokenizer joins characters over the border of a segment: A splits
-    words there before it merges, and B has no piece that goes on after a blank
-    or holds a line feed (which is checked).  So a segment's tokens do not depend
-    on its text and are remembered.  Other texts are encoded as a whole.
+    B joins no characters over the border of a segment: it has no piece that goes
+    on after a blank or holds a line feed (which is checked).  So a segment's
+    pieces do not depend on its text and are remembered.  Other texts are encoded
+    as a whole.  A is read into the faster of two libraries, whose merges go by id
+    (checked too); it is used for texts of Latin letters, where word borders do
+    not depend on a library's Unicode version.
     """
 
     def __init__(self, a: bytes, b: bytes):
@@ -80,46 +87,61 @@ class Pair:
         pieces = [self.b.id_to_piece(number) for number in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
+        self.fast = self._fast(json.loads(a))
         self.prefix = self.b.piece_to_id(BLANK)
         self.by_segment = not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in pieces)
         self.stride = max(len(self.a_bytes), len(self.b_bytes))
         self.spelled = [f"{i}{end}" for end in ",|;" for i in range(self.stride)]
         self.segments: dict[str, int] = {}
-        self.known: tuple[list[list[int]], list[list[int]]] = [], []
+        self.known: list[list[int]] = []
+
+    def _fast(self, a: dict) -> tiktoken.Encoding | None:
+        """The same vocabulary for the faster library, if it merges in the order of ids and splits by the published rule."""
+        model, before = a["model"], a["pre_tokenizer"] or {}
+        merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        published = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        if a["normalizer"] or not published or merged != sorted(merged):
+            return None
+        special = {t["id"] for t in a["added_tokens"]}
+        ranks = {x: i for i, x in enumerate(self.a_bytes) if i not in special}
+        return tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def learn(self, segments: list[str]) -> None:
-        a = self.a.encode_batch_fast(segments, add_special_tokens=False)
         # B puts a blank before its text: it is the segment's own, or a token to drop
-        b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
-        start = len(self.known[0])
+        found = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
+        start = len(self.known)
         self.segments.update(zip(segments, range(start, start + len(segments)), strict=True))
-        self.known[0].extend([x.ids for x in a])
-        self.known[1].extend([y if s[0] == " " else y[y[:1] == [self.prefix] :] for s, y in zip(segments, b, strict=True)])
+        self.known.extend([y if s[0] == " " else y[y[:1] == [self.prefix] :] for s, y in zip(segments, found, strict=True)])
+
+    def whole(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of both sides by the plain calls."""
+        return self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
 
     def spells(self, ids: tuple[list[int], list[int]], text: str) -> bool:
         wanted = (" " + text).encode()
         return all(b"".join(map(table.__getitem__, side)) == wanted for side, table in zip(ids, (self.a_bytes, self.b_bytes), strict=True))
 
-    def whole(self, text: str) -> tuple[list[int], list[int]]:
-        return self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
-
     def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]] | None]:
         """Per text the ids of both sides; None where they do not spell a blank and the text."""
         if len(self.segments) > REMEMBERED:
-            self.segments, self.known = {}, ([], [])
+            self.segments, self.known = {}, []
         cut = [SEGMENT.findall(" " + t) if t and self.by_segment and BLANK not in t else [] for t in texts]
         unknown = list(dict.fromkeys(s for c in cut for s in c if s not in self.segments))
         if unknown:
             self.learn(unknown)
+        known, place = self.known, self.segments.__getitem__
         result = []
         for text, segments in zip(texts, cut, strict=True):
-            numbers = [self.segments[s] for s in segments]
-            ids = tuple(list(chain.from_iterable([side[n] for n in numbers])) for side in self.known)
-            if text and not (segments and self.spells(ids, text)):
+            ids = None
+            if text and segments and self.fast and not BEYOND_LATIN.search(text):
+                pieces = list(chain.from_iterable([known[n] for n in map(place, segments)]))
+                # byte-level tokens spell any text
+                if b"".join(map(self.b_bytes.__getitem__, pieces)) == (" " + text).encode():
+                    ids = self.fast.encode_ordinary(" " + text), pieces
+            if text and not ids:
                 ids = self.whole(text)
-                if not self.spells(ids, text):
-                    ids = None
-            result.append(ids if text else None)
+                ids = ids if self.spells(ids, text) else None
+            result.append(ids)
         return result
 
 
