@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from postpulse.functions.posts import month_epoch, month_of
 from postpulse.functions.stats import student_t_pvalue
+from postpulse.operators.numbering import number_rows
 
 # Column names for the labels -1, 0, 1.
 CLASS_COLUMNS = {-1: "neg", 0: "neu", 1: "pos"}
@@ -95,6 +96,11 @@ def sort_by_date(scored: DataFrame) -> DataFrame:
     return scored.orderBy("date")
 
 
+def number_by_date(scored: DataFrame, *ties: str) -> DataFrame:
+    """Rows numbered from 0 in date order, null dates last; ``ties`` orders rows of one date."""
+    return number_rows(scored, F.col("date").asc_nulls_last(), *ties)
+
+
 def date_histogram(scored: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """``bin, bin_start_s, n`` over all rows, in equal steps from first to last date.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postpulse.sources.records import scan_csv
 from postpulse.sources.schemas import POST_FILE_SCHEMA, STORED_POST_SCHEMA
 
 # The texts a CSV field may hold that count as "no value".
@@ -71,16 +72,17 @@ def read_posts(
 ) -> DataFrame:
     """Scan post CSV files; every column is text, NA texts become null.
 
-    A quoted body may hold line ends, so Spark reads one file per task: keep
-    files moderate (``export_csv`` does) and use Parquet between stages.
+    A quoted body may hold line ends; files are read by splits all the same.
     """
-    raw = spark.read.schema(schema).options(**_CSV_OPTIONS).csv(path)
-    last = schema.fieldNames()[-1]
-    columns = []
-    for name in schema.fieldNames():
-        value = F.regexp_replace(F.col(name), r"\r$", "") if name == last else F.col(name)
-        columns.append(na_to_null(value).alias(name))
-    return raw.select(*columns)
+    return _without_na(scan_csv(spark, path, schema, _CSV_OPTIONS), schema)
+
+
+def _without_na(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """NA texts as null, and no carriage return behind the last column."""
+    *others, last = schema.fieldNames()
+    clean = {name: na_to_null(name) for name in others}
+    clean[last] = na_to_null(F.regexp_replace(F.col(last), r"\r$", ""))
+    return raw.withColumns(clean)
 
 
 def read_source_files(
@@ -98,18 +100,12 @@ def read_source_files(
     pattern = f"{directory.rstrip('/')}/{{{names}}}-posts.csv"
     source = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)-posts\.csv", 1)
     try:
-        raw = spark.read.schema(schema).options(**_CSV_OPTIONS).csv(pattern)
-        raw = raw.withColumn("subreddit", source)
+        raw = scan_csv(spark, pattern, schema, _CSV_OPTIONS, {"subreddit": source})
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        raw = spark.createDataFrame([], schema).withColumn("subreddit", F.lit(None).cast("string"))
-    last = schema.fieldNames()[-1]
-    columns = [F.col("subreddit")]
-    for name in schema.fieldNames():
-        value = F.regexp_replace(F.col(name), r"\r$", "") if name == last else F.col(name)
-        columns.append(na_to_null(value).alias(name))
-    return raw.select(*columns)
+        raw = spark.createDataFrame([], T.StructType([T.StructField("subreddit", T.StringType()), *schema.fields]))
+    return _without_na(raw, schema)
 
 
 def parse_dates(posts: DataFrame, column: str = "date") -> DataFrame:
