@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postpulse.functions.labels import label_numeric
 from postpulse.operators.bayes import ComplementBayes, predict_bayes
-from postpulse.operators.learning import predict
+from postpulse.operators.learning import TextModel, predict
 from postpulse.operators.trend import (
     date_histogram,
     monthly_counts,
@@ -34,7 +33,7 @@ class AnalysisReport:
 
 def score_posts(
     posts: DataFrame,
-    model: PipelineModel | ComplementBayes,
+    model: TextModel | ComplementBayes,
     lexicon: DataFrame | None = None,
 ) -> DataFrame:
     """``subreddit, ID, date, label`` for every post that has a title and a body."""
@@ -48,7 +47,7 @@ def score_posts(
 
 def analyse(
     posts: DataFrame,
-    model: PipelineModel | ComplementBayes,
+    model: TextModel | ComplementBayes,
     lexicon: DataFrame | None = None,
     by: Sequence[str] = (),
 ) -> AnalysisReport:

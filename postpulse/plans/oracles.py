@@ -7,6 +7,8 @@ normalises first.
 
 from __future__ import annotations
 
+import random
+
 from postpulse.functions.labels import PROMPT_HEAD, PROMPT_TAIL
 from postpulse.functions.text import STOPWORDS, WIDE_BLANKS
 
@@ -229,6 +231,14 @@ _add(
     + "SELECT subreddit, listing, time_filter, position, id, title, md5(selftext) AS selftext_md5, created_utc FROM listings",
 )
 _add("read_posts_na", _with(POSTS, SENTIMENTS, NO_BODY) + "SELECT ID, title, md5(content) AS content_md5, date FROM raw")
+_add(
+    "read_whole_posts",
+    _with(POSTS)
+    + """, quoted AS (
+  SELECT ID, '"' || title AS title, nullif(replace(content, chr(10), chr(13) || chr(10) || '"'), '') AS content, date FROM posts)
+SELECT ID, title, length(content) AS n_chars, md5(content) AS content_md5, strftime(date, '%Y-%m-%d %H:%M:%S') AS date
+FROM quoted""",
+)
 _add(
     "read_source_files",
     _with(POSTS, SENTIMENTS, NO_BODY)
@@ -468,6 +478,66 @@ _add(
 _VALID = (*_MODEL, GUESSED, VALIDATED)
 _add("cnb_predict", _with(*_VALID) + "SELECT subreddit, ID, actual, predicted FROM validated")
 _add("model_round_trip", ORACLES["cnb_predict"])
+# 100 different settings out of 2 x 6 x 4 x 4, by their number, with the library's seed
+_DRAWN = ", ".join(
+    f"({draw}, {(1, 2)[i % 2]}, {(0.2, 0.4, 0.7, 0.8, 0.9, 1.0)[i // 2 % 6]}::DOUBLE, "
+    f"{(1, 3, 5, 10)[i // 12 % 4]}, {(1.0, 0.1, 0.01, 0.001)[i // 48]}::DOUBLE)"
+    for draw, i in enumerate(random.Random(0).sample(range(192), 100))
+)
+_add(
+    "param_search",
+    _with(POSTS, TEXTS, DOCS, SENTIMENTS, CNB.split(",\ntf AS")[0])
+    + f""", draws(draw, ngram_max, max_df, min_df, alpha) AS (VALUES {_DRAWN}),
+combos AS MATERIALIZED (
+  SELECT row_number() OVER () AS s, * FROM (SELECT DISTINCT ngram_max, max_df, min_df FROM draws)),
+train AS MATERIALIZED (
+  SELECT ID, sentiment, tokens, ntile(5) OVER (PARTITION BY sentiment ORDER BY h) - 1 AS fold FROM placed WHERE NOT held_out),
+folds AS MATERIALIZED (
+  SELECT f.fold AS f, (SELECT count(*) FROM train WHERE fold <> f.fold) AS n FROM (SELECT DISTINCT fold FROM train) f),
+spelled AS MATERIALIZED (
+  SELECT ID, unnest(list_concat(tokens, list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]))) AS word
+  FROM train),
+terms AS MATERIALIZED (
+  SELECT word, contains(word, ' ') AS pair, row_number() OVER () AS term FROM (SELECT DISTINCT word FROM spelled)),
+people AS MATERIALIZED (SELECT ID, fold, sentiment, row_number() OVER () AS doc FROM train),
+grams AS MATERIALIZED (
+  SELECT doc, fold, sentiment, term, pair, count(*) AS tf
+  FROM spelled JOIN terms USING (word) JOIN people USING (ID) GROUP BY ALL),
+listed AS MATERIALIZED (
+  SELECT f, s, term, df, ln((1 + n) / (1 + df)) + 1 AS idf
+  FROM (SELECT f, n, term, any_value(pair) AS pair, count(*) AS df FROM grams JOIN folds ON fold <> f GROUP BY f, n, term)
+  JOIN combos ON df >= min_df AND df <= max_df * n AND (ngram_max = 2 OR NOT pair)),
+lengths AS MATERIALIZED (
+  SELECT f, s, doc, sentiment, sqrt(sum(tf * idf * tf * idf)) AS length, sum(tf * idf) AS total
+  FROM grams JOIN listed USING (term) WHERE fold <> f GROUP BY f, s, doc, sentiment),
+-- a term that one document holds has no part in another one's score, only in the totals
+met AS (SELECT term FROM grams GROUP BY term HAVING count(*) > 1),
+sums AS MATERIALIZED (
+  SELECT f, s, term, any_value(idf) AS idf, sum(tf * idf / length) AS every,
+         sum(CASE WHEN g.sentiment = 'negative' THEN tf * idf / length ELSE 0 END) AS neg,
+         sum(CASE WHEN g.sentiment = 'neutral' THEN tf * idf / length ELSE 0 END) AS neu,
+         sum(CASE WHEN g.sentiment = 'positive' THEN tf * idf / length ELSE 0 END) AS pos
+  FROM grams g JOIN met USING (term) JOIN listed USING (term) JOIN lengths USING (f, s, doc) WHERE fold <> f GROUP BY f, s, term),
+sizes AS (SELECT f, s, count(*) AS v FROM listed GROUP BY f, s),
+wholes AS (
+  SELECT f, s, sum(total / length) FILTER (WHERE sentiment <> 'negative') AS neg,
+         sum(total / length) FILTER (WHERE sentiment <> 'neutral') AS neu,
+         sum(total / length) FILTER (WHERE sentiment <> 'positive') AS pos FROM lengths GROUP BY f, s),
+models AS MATERIALIZED (
+  SELECT f, draw, s, alpha, neg + alpha * v AS neg, neu + alpha * v AS neu, pos + alpha * v AS pos
+  FROM wholes JOIN sizes USING (f, s) JOIN combos USING (s) JOIN draws USING (ngram_max, max_df, min_df)),
+scores AS (
+  SELECT draw, doc, sum(tf * idf * -ln((every - u.neg + alpha) / m.neg)) AS neg,
+         sum(tf * idf * -ln((every - u.neu + alpha) / m.neu)) AS neu, sum(tf * idf * -ln((every - u.pos + alpha) / m.pos)) AS pos
+  FROM grams JOIN sums u USING (term) JOIN models m USING (f, s) WHERE fold = f GROUP BY draw, doc),
+judged AS (
+  SELECT draw, fold, sentiment = CASE WHEN neg IS NULL OR neg >= greatest(neu, pos) THEN 'negative'
+         WHEN neu >= pos THEN 'neutral' ELSE 'positive' END AS hit
+  FROM people CROSS JOIN draws LEFT JOIN scores USING (draw, doc)),
+by_fold AS (SELECT draw, fold, avg(hit::INT) AS accuracy FROM judged GROUP BY draw, fold)
+SELECT draw, ngram_max, max_df, min_df, alpha, round(avg(accuracy), 6) AS mean_accuracy
+FROM by_fold JOIN draws USING (draw) GROUP BY ALL""",
+)
 _SPINE = "(SELECT unnest(['negative', 'neutral', 'positive']) AS {0})"
 _add(
     "confusion_matrix",
@@ -552,6 +622,12 @@ _add(
     "sort_by_date",
     _with(SCORED) + "SELECT ID, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, label FROM scored ORDER BY date",
 )
+_add(
+    "number_by_date",
+    _with(SCORED)
+    + "SELECT row_number() OVER (ORDER BY date NULLS LAST, ID) - 1 AS row_number, ID, "
+    "strftime(date, '%Y-%m-%d %H:%M:%S') AS date, label FROM scored",
+)
 _DAILY = """SELECT CAST(date AS DATE) AS day, count(*) FILTER (WHERE label = -1) AS neg,
        count(*) FILTER (WHERE label = 0) AS neu, count(*) FILTER (WHERE label = 1) AS pos
 FROM scored GROUP BY 1"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from postpulse.functions import labels as L
 from postpulse.functions import posts as P
 from postpulse.functions import text as X
-from postpulse.operators import bayes, clean, evaluate, features, ingest, labelling, learning, lexicon, sampling, trend
+from postpulse.operators import bayes, bayes_search, clean, evaluate, features, ingest, labelling, learning, lexicon, sampling, trend
 from postpulse.plans.collect import collect
 from postpulse.plans.views import ANALYSIS, Tables, scored_event_columns
 from postpulse.session import cut_lineage, scratch_path
@@ -103,6 +103,21 @@ def read_posts_na(t: Tables) -> DataFrame:
     )
 
 
+def _quoted_posts(t: Tables) -> DataFrame:
+    """Posts with their whole bodies: every line ends in CR LF, and quotes stand in titles and at line starts."""
+    lines = F.replace("content", F.lit("\n"), F.lit('\r\n"'))
+    return t.posts().select("ID", F.concat(F.lit('"'), "title").alias("title"), lines.alias("content"), _date_text("date").alias("date"))
+
+
+@query
+def read_whole_posts(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "whole-csv")
+    post_source.export_csv(_quoted_posts(t), path)
+    return post_source.read_posts(t.spark, path).select(
+        "ID", "title", F.length("content").alias("n_chars"), _digest("content").alias("content_md5"), "date"
+    )
+
+
 @query
 def read_source_files(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "sources-csv")
@@ -470,24 +485,22 @@ def model_round_trip(t: Tables) -> DataFrame:
 
 @query
 def svm_predict(t: Tables) -> DataFrame:
-    return _ml_predict(t, "SVM", {"C": 1.0, "min_df": 5, "max_df": 0.8})
+    return _ml_predict(t, "SVM", {"C": 1.0})
 
 
 @query
 def gbt_predict(t: Tables) -> DataFrame:
-    return _ml_predict(t, "GBDT", {"n_estimators": 5, "max_depth": 3, "min_df": 10, "max_df": 0.7})
+    return _ml_predict(t, "GBDT", {"n_estimators": 80, "max_depth": 3})
 
 
 @query
 def param_search(t: Tables) -> DataFrame:
     train, _ = _ml_sides(t)
-    found = learning.random_search(train, "cNB", n_iter=4, folds=3)
-    rows = [
-        (i, s["ngram_max"], float(s["max_df"]), s["min_df"], float(s["alpha"]), score)
-        for i, (s, score) in enumerate(found.scores)
-    ]
-    schema = "draw int, ngram_max int, max_df double, min_df int, alpha double, mean_accuracy double"
-    return t.spark.createDataFrame(rows, schema)
+    settings = learning.draw_settings(learning.PARAM_GRIDS["cNB"], 100)
+    rows = [(i, s["ngram_max"], float(s["max_df"]), s["min_df"], float(s["alpha"])) for i, s in enumerate(settings)]
+    drawn = t.spark.createDataFrame(rows, "draw int, ngram_max int, max_df double, min_df int, alpha double")
+    scores = bayes_search.search_scores(sampling.stratified_folds(train), settings, folds=5)
+    return _rounded(drawn.join(scores, "draw"), "mean_accuracy")
 
 
 # --- trend -----------------------------------------------------------------------
@@ -542,6 +555,12 @@ def sort_by_date(t: Tables) -> DataFrame:
     )
 
 
+@query
+def number_by_date(t: Tables) -> DataFrame:
+    numbered = trend.number_by_date(t.scored().select("ID", "date", "label"), "ID")
+    return numbered.select("row_number", "ID", _date_text("date").alias("date"), "label")
+
+
 @query
 def daily_counts(t: Tables) -> DataFrame:
     return trend.daily_counts(t.scored_events())

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from postpulse.operators.labelling import Scorer, label_posts, merge_neither
 from postpulse.operators.learning import (
     DEFAULT_ITERATIONS,
     MODEL_NAMES,
+    TextModel,
     predict,
     random_search,
     save_model,
@@ -33,7 +33,7 @@ FAST_MODELS = ("cNB",)  # the one that trains quickly and did best
 class TrainReport:
     """One trained model with its hold-out accuracy and confusion counts."""
 
-    model: PipelineModel
+    model: TextModel
     setting: dict
     search_score: float
     accuracy: float

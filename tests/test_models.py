@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from postpulse.functions.text import ngrams
-from postpulse.operators import bayes, features, learning
+from postpulse.operators import bayes, features, learning, term_index
 from postpulse.operators.bayes import ComplementBayes, fit_bayes, predict_bayes
 from postpulse.operators.evaluate import accuracy, confusion, confusion_long, micro_f1
 from postpulse.operators.lookup import lookup_join
@@ -45,15 +45,18 @@ def test_document_frequency_bounds(docs):
 
 
 @pytest.mark.parametrize("ngram_max, min_df, max_df", [(1, 1, 1.0), (2, 2, 0.9)])
-def test_pipeline_features_equal_the_tables(docs, ngram_max, min_df, max_df):
+def test_sparse_rows_equal_the_tables(docs, ngram_max, min_df, max_df):
     grams = docs.withColumn("tokens", ngrams("tokens", ngram_max))
     table = {(r["ID"], r["term"]): r["weight"] for r in features.tfidf(grams, min_df=min_df, max_df=max_df).collect()}
-    model = learning.fit_features(docs, ngram_max, min_df, max_df)
-    vocabulary = model.stages[1].vocabulary
-    vectors = model.transform(docs).select("ID", vector_to_array("features").alias("v")).collect()
-    got = {(r["ID"], vocabulary[i]): x for r in vectors for i, x in enumerate(r["v"]) if x}
-    assert got.keys() == table.keys()
+    index = term_index.fit_index(docs, ngram_max, min_df, max_df)
+    terms = {r["id"]: r["term"] for r in index.table.collect()}
+    assert sorted(terms) == list(range(index.size)) and [terms[i] for i in sorted(terms)] == sorted(terms.values())
+    rows = term_index.sparse_rows(docs, index, ["ID"])
+    got = {(r["ID"], terms[i]): w for r in rows.collect() for i, w in zip(r["ids"], r["weights"])}
+    assert rows.count() == docs.count() and got.keys() == table.keys()
     assert all(abs(got[k] - table[k]) < 1e-9 for k in table)
+    vectors = term_index.with_vectors(rows, index.size).select("ID", vector_to_array("features").alias("v"))
+    assert {(r["ID"], terms[i]): x for r in vectors.collect() for i, x in enumerate(r["v"]) if x} == got
 
 
 def test_bayes_tables_equal_the_pipeline(spark, docs, tmp_path):
@@ -61,6 +64,8 @@ def test_bayes_tables_equal_the_pipeline(spark, docs, tmp_path):
     ours = dict(values(predict_bayes(docs, model).select("ID", "predicted")))
     fitted = learning.fit_pipeline(docs, "cNB", {"alpha": 0.1, "min_df": 2, "max_df": 0.9})
     assert dict(values(learning.predict(docs, fitted).select("ID", "predicted"))) == ours
+    twice = docs.withColumn("ID", F.lit("one key"))
+    assert learning.predict(twice, fitted).count() == docs.count()
     assert ours["empty"] == "negative"  # no known term: all scores equal, first class
     model.save(str(tmp_path / "m"))
     loaded = ComplementBayes.load(spark, str(tmp_path / "m"))
@@ -76,24 +81,41 @@ def test_large_tables_are_not_broadcast(docs):
     assert "BroadcastHashJoin" in plan(10) and "BroadcastHashJoin" not in plan(10**9)
 
 
-def test_models_train_save_and_load(spark, docs, tmp_path):
-    for kind, setting in (("cNB", {}), ("SVM", {"C": 1.0, "min_df": 2}), ("GBDT", {"n_estimators": 2, "min_df": 2})):
-        learning.save_model(learning.fit_pipeline(docs, kind, setting), str(tmp_path), kind)
-        model = learning.load_model(str(tmp_path), kind)
-        guessed = learning.predict(docs.drop("sentiment"), model).join(docs.select("ID", "sentiment"), "ID")
-        assert guessed.filter("sentiment = predicted").count() > 55
-    with pytest.raises(ValueError):
-        learning.load_model(str(tmp_path), "LSTM")
-    with pytest.raises(ValueError):
-        learning.classifier("LSTM", {}, 1)
+@pytest.mark.parametrize(
+    "kind, setting", [("cNB", {}), ("SVM", {"C": 1.0, "min_df": 2}), ("SVM", {"kernel": "linear"}), ("GBDT", {"n_estimators": 5, "min_df": 2})]
+)
+def test_models_train_save_and_load(docs, tmp_path, kind, setting):
+    fitted = learning.fit_pipeline(docs, kind, setting)
+    learning.save_model(fitted, str(tmp_path), kind)
+    model = learning.load_model(str(tmp_path), kind)
+    guessed = learning.predict(docs, model)
+    assert guessed.columns == [*docs.columns, "predicted"] and guessed.count() == docs.count()
+    assert guessed.filter("sentiment = predicted").count() > 55
+    assert sorted(values(guessed.select("ID", "predicted"))) == sorted(values(learning.predict(docs.drop("sentiment"), fitted).select("ID", "predicted")))
 
 
-def test_an_oversized_vocabulary_is_refused(docs, monkeypatch):
-    monkeypatch.setattr(learning, "MAX_VOCABULARY", 5)
-    with pytest.raises(ValueError, match="vocabulary"):
-        learning.fit_features(docs)
+def test_unknown_models_are_refused(docs, tmp_path):
+    for call in (lambda: learning.load_model(str(tmp_path), "LSTM"), lambda: learning.fit_pipeline(docs, "LSTM")):
+        with pytest.raises(ValueError, match="LSTM"):
+            call()
     with pytest.raises(ValueError, match="no term"):
-        learning.fit_features(docs, min_df=1000)
+        term_index.fit_index(docs, min_df=1000)
+
+
+def test_a_vocabulary_of_more_than_a_million_terms(spark):
+    """Word pairs that occur once each: numbered without gaps, whatever reaches the driver is a count."""
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(600)), lambda i: F.concat(F.lit("w"), (F.col("id") * 601 + i).cast("string")))
+    many = spark.range(0, 950, 1, 8).select(tokens.alias("tokens"))
+    index = term_index.fit_index(many, ngram_max=2)
+    assert index.size == 950 * (601 + 600) > 1 << 20
+    bounds = index.table.agg(F.min("id"), F.max("id"), F.count_distinct("id")).first()
+    assert tuple(bounds) == (0, index.size - 1, index.size)
+
+
+def test_repeats_are_counted_inside_a_row(frame):
+    df = frame([(1, ["b", "a", "b", None, "c", "b"]), (2, []), (3, None), (4, ["x"])], "i int, t array<string>")
+    got = {r["i"]: r["c"] and [tuple(e) for e in r["c"]] for r in df.select("i", term_index.counted_terms("t").alias("c")).collect()}
+    assert got == {1: [("a", 1), ("b", 3), ("c", 1)], 2: [], 3: None, 4: [("x", 1)]}
 
 
 def test_drawn_settings_differ():

@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, engine, name):
 
 
 def test_queries_without_sql_are_the_learned_ones():
-    assert set(QUERIES) - set(ORACLES) == {"svm_predict", "gbt_predict", "param_search"}
+    assert set(QUERIES) - set(ORACLES) == {"svm_predict", "gbt_predict"}
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
