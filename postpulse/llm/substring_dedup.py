@@ -15,8 +15,9 @@ Windows of one block that repeat an earlier document of the same block are
 settled there, and only the first of equal windows leaves the block: a passage
 that a third of all documents share sends one row per block and window.
 
-Windows are compared by 64 bits of their anchor and 32 further bits of
-themselves.
+Before that, anchors alone are brought together, and each document learns which
+of its anchors another document has too: only windows with such an anchor are
+sent.  Windows are compared by 64 bits of their anchor and 64 bits of themselves.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postpulse.llm.tables import slices, text_bytes
+from postpulse.llm.tables import slices
 from postpulse.llm.words import Words, mixed, split
 
 # Words of one reference block that are indexed before its windows are sent on.
@@ -53,7 +54,7 @@ def window_keys(flat: Words, rule: Passages) -> tuple[np.ndarray, np.ndarray, np
     """Start, anchor hash and window hash of every full window of every document."""
     wide, whole = flat.windows(rule.words)
     if not len(wide):
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint32)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     least = flat.windows(rule.anchor)[0]
     # smallest k-gram hash over the window, by doubling
     span, done = rule.words - rule.anchor + 1, 1
@@ -62,11 +63,11 @@ def window_keys(flat: Words, rule: Passages) -> tuple[np.ndarray, np.ndarray, np
         done *= 2
     least = np.minimum(least[: len(wide)], least[span - done : span - done + len(wide)])
     start = np.flatnonzero(whole)
-    return start, least[start], (wide[start] >> np.uint64(32)).astype(np.uint32)
+    return start, least[start], wide[start]
 
 
-_ROW = "kind int, anchor long, doc_id long, at long, windows array<int>"
-_ROWS = pa.schema([("kind", pa.int32()), ("anchor", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("windows", pa.list_(pa.int32()))])
+_ROW = "kind int, anchor long, doc_id long, at long, windows array<long>"
+_ROWS = pa.schema([("kind", pa.int32()), ("anchor", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("windows", pa.list_(pa.int64()))])
 _OPEN, _SETTLED = 0, 1
 _FACTOR = ("at", "windows", "source", "source_at")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -96,7 +97,7 @@ def _blocks(rule: Passages):
         order, first = first_places(anchor, window, doc, at)
         own, ref = order, first
         again = doc[own] != doc[ref]
-        yield from _spans(doc[own[again]], at[own[again]], doc[ref[again]], at[ref[again]])
+        yield from _spans(doc[own[again]], at[own[again]], doc[ref[again]], at[ref[again]], window[own[again]])
         # only first places go on, one row per stretch of windows with one anchor; a later place
         # in the same document holds no news either, as its fate is that of the first
         index = np.sort(own[own == ref])
@@ -109,8 +110,11 @@ def _blocks(rule: Passages):
         for batch in slices(batches):
             flat = Words.of(batch.column("text").to_pylist())
             start, anchor, window = window_keys(flat, rule)
+            # a document knows all of its anchors that another one has
+            sent = np.isin(anchor, batch.column("anchors").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            start, anchor, window = start[sent], anchor[sent], window[sent]
             owner = np.repeat(np.arange(batch.num_rows), flat.counts)[start] if len(start) else start
-            doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            doc = batch.column("of").to_numpy(zero_copy_only=False)
             pieces.append((anchor, window, doc[owner], start - flat.starts[owner]))
             held += len(start)
             if held >= BLOCK_WORDS:
@@ -127,7 +131,7 @@ def _stretches(anchor, window, doc, at) -> Iterator[pa.RecordBatch]:
         return
     heads = _runs(anchor[1:] != anchor[:-1], doc[1:] != doc[:-1], at[1:] != at[:-1] + 1)
     ends = np.append(heads, len(anchor)).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(window.view(np.int32)))
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(window.view(np.int64)))
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(heads), _OPEN, np.int32)), pa.array(anchor[heads].view(np.int64)), pa.array(doc[heads]), pa.array(at[heads]), lists], schema=_ROWS
     )
@@ -139,28 +143,68 @@ def _echoes(anchor, window, doc, at) -> Iterator[pa.RecordBatch]:
     yield from _stretches(anchor[order], window[order], doc[order], at[order])
 
 
-def _spans(doc, at, ref_doc, ref_at) -> Iterator[pa.RecordBatch]:
+def checks(window: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """One number per run of windows, by which a text is told from another with the same id."""
+    return np.add.reduceat(mixed(window), heads)
+
+
+def _spans(doc, at, ref_doc, ref_at, window) -> Iterator[pa.RecordBatch]:
     """Settled windows as factors: maximal runs that follow one earlier place."""
     if not len(doc):
         return
-    order = np.lexsort((at, doc))
-    doc, at, ref_doc, ref_at = doc[order], at[order], ref_doc[order], ref_at[order]
+    order = np.lexsort((window, at, doc))
+    doc, at, ref_doc, ref_at, window = doc[order], at[order], ref_doc[order], ref_at[order], window[order]
     step = at[1:] != at[:-1] + 1
     heads = _runs(step, doc[1:] != doc[:-1], ref_doc[1:] != ref_doc[:-1], ref_at[1:] != ref_at[:-1] + 1)
     ends = np.append(heads[1:], len(doc)) - 1
-    # a settled row keeps (windows in the factor, source document as two halves, source position) as its list
-    source = ref_doc[heads].astype(np.int64)
-    cells = np.stack([at[ends] - at[heads] + 1, source >> 32, source & 0xFFFFFFFF, ref_at[heads]], axis=1).astype(np.int64)
-    lists = pa.ListArray.from_arrays(
-        pa.array(np.arange(len(heads) + 1, dtype=np.int32) * 4), pa.array(cells.ravel().astype(np.uint32).view(np.int32))
-    )
+    # a settled row keeps (windows in the factor, source document, source position, check) as its list
+    cells = np.stack([at[ends] - at[heads] + 1, ref_doc[heads], ref_at[heads], checks(window, heads).view(np.int64)], axis=1).astype(np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(heads) + 1, dtype=np.int32) * 4), pa.array(cells.ravel()))
     # settled rows only pass through the shuffle, so any even key will do
-    key = mixed(source.view(np.uint64) + np.arange(len(heads), dtype=np.uint64)).view(np.int64)
+    key = mixed(ref_doc[heads].astype(np.int64).view(np.uint64) + np.arange(len(heads), dtype=np.uint64)).view(np.int64)
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(heads), _SETTLED, np.int32)), pa.array(key), pa.array(doc[heads]), pa.array(at[heads]), lists], schema=_ROWS
     )
 
 
+def _anchors(rule: Passages):
+    """(anchor, doc_id): the anchors of each document, one row per stretch of windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            flat = Words.of(batch.column("text").to_pylist())
+            start, anchor, _ = window_keys(flat, rule)
+            if not len(start):
+                continue
+            owner = np.repeat(np.arange(batch.num_rows), flat.counts)[start]
+            heads = _runs(anchor[1:] != anchor[:-1], owner[1:] != owner[:-1])
+            doc = batch.column("_id").to_numpy(zero_copy_only=False)[owner[heads]]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[heads].view(np.int64)), pa.array(doc.astype(np.int64))], names=["anchor", "doc_id"])
+
+    return run
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by anchor and document those whose anchor several documents have."""
+    known, waiting = None, None  # an anchor known to repeat; the last row, if its anchor had one document so far
+    for batch in batches:
+        anchor, doc = (batch.column(c).to_numpy() for c in ("anchor", "doc_id"))
+        if not len(anchor):
+            continue
+        if waiting is not None:
+            anchor, doc = np.r_[waiting[0], anchor], np.r_[waiting[1], doc]
+        use = np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]
+        anchor, doc = anchor[use], doc[use]
+        heads = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        sizes = np.diff(np.r_[heads, len(anchor)])
+        several = np.repeat(sizes > 1, sizes)
+        if known is not None:
+            several |= anchor == known
+        known = anchor[-1] if several[-1] else None
+        waiting = None if several[-1] else (anchor[-1], doc[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[several]), pa.array(doc[several])], names=["anchor", "doc_id"])
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor: windows whose first place is in an earlier document, as factors.
 
@@ -178,7 +222,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return (np.empty(0, np.int64),) * 4
         lists = table.column("windows").chunk(0)
         counts = np.diff(lists.offsets.to_numpy())
-        window = lists.flatten().to_numpy().view(np.uint32)
+        window = lists.flatten().to_numpy().view(np.uint64)
         index = np.arange(len(window)) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
         get = lambda name: np.repeat(table.column(name).to_numpy(), counts)
         return get("anchor"), window, get("doc_id"), get("at") + index
@@ -205,7 +249,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in mine:
             firsts.setdefault(int(window[i]), (int(ref_doc[i]), int(ref_at[i])))
         later = ref_doc < doc
-        yield from _spans(doc[later], at[later], ref_doc[later], ref_at[later])
+        yield from _spans(doc[later], at[later], ref_doc[later], ref_at[later], window[later])
 
     for batch in batches:
         settled = pc.equal(batch.column("kind"), _SETTLED)
@@ -250,25 +294,25 @@ def covered(factors: list[tuple[int, int, int, int]], words: int) -> list[tuple[
     return [tuple(r) for r in ranges]
 
 
-def duplicate_spans(documents: DataFrame, rule: Passages | None = None) -> DataFrame:
-    """(doc_id, at, windows, source, source_at): stretches of windows that start in an earlier document.
+def duplicate_spans(texts: DataFrame, rule: Passages) -> DataFrame:
+    """(doc_id, at, windows, source, source_at, check): stretches of windows that start in an earlier document.
 
-    Rows without doc_id or text have no window.  Rows of one doc_id count as one
-    document whose windows never make each other duplicates.
+    ``texts`` has ``_id``, ``row`` and ``text`` (bytes).  Rows without id or text
+    have no window.  Rows of one id count as one document whose windows never
+    make each other duplicates.
     """
-    rule = rule or Passages()
-    texts = text_bytes(documents, ("doc_id", "long")).filter("doc_id is not null and text is not null")
+    spark = texts.sparkSession
     # a block's windows are about as large as its texts
-    parts = max(documents.sparkSession.sparkContext.defaultParallelism, 2 * texts.rdd.getNumPartitions())
-    sent = texts.mapInArrow(_blocks(rule), _ROW).repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "at")
-    found = sent.mapInArrow(_settle, _ROW)
-    cell = lambda i: F.col("windows")[i].cast("long")
-    return found.select(
-        "doc_id",
-        "at",
-        cell(0).alias("windows"),
-        F.expr("shiftleft(cast(windows[1] as bigint), 32) | (cast(windows[2] as bigint) & 4294967295)").alias("source"),
-        cell(3).alias("source_at"),
+    parts = max(spark.sparkContext.defaultParallelism, 2 * texts.rdd.getNumPartitions())
+    named = texts.select("_id", "text").filter("_id is not null and text is not null")
+    met = named.mapInArrow(_anchors(rule), "anchor long, doc_id long").repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id")
+    shared = met.mapInArrow(_repeated, "anchor long, doc_id long").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    # the shuffle of the texts is the one that the found spans meet them in
+    wanted = texts.join(shared.withColumnRenamed("doc_id", "of").hint("merge"), F.expr("_id <=> of")).select("_id", "row", "text", "of", "anchors")
+    sent = wanted.mapInArrow(_blocks(rule), _ROW).repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "at")
+    cell = lambda i: F.col("windows")[i]
+    return sent.mapInArrow(_settle, _ROW).select(
+        "doc_id", "at", cell(0).alias("windows"), cell(1).alias("source"), cell(2).alias("source_at"), cell(3).alias("check")
     )
 
 
@@ -286,6 +330,17 @@ def cut(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join(pieces)
 
 
+def _own(words: list[bytes], found: list[dict], rule: Passages) -> list[tuple[int, int, int, int]]:
+    """The spans that are this text's: another text of the same id has other windows."""
+    window = window_keys(Words.from_lists([words]), rule)[2]
+    inside = [f for f in found if f["at"] + f["windows"] <= len(window)]
+    return [
+        (f["at"], f["windows"], f["source"], f["source_at"])
+        for f in inside
+        if checks(window[f["at"] : f["at"] + f["windows"]], np.zeros(1, np.int64)).view(np.int64)[0] == f["check"]
+    ]
+
+
 def _rest(rule: Passages):
     """Words, words removed, what is kept, and the factors of each document."""
 
@@ -294,7 +349,7 @@ def _rest(rule: Passages):
             counts, removed, texts, digests, parsed = [], [], [], [], []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
                 words = split(text)
-                factors = factorise([(f["at"], f["windows"], f["source"], f["source_at"]) for f in found or []])
+                factors = factorise(_own(words, found, rule)) if found else []
                 ranges = covered(factors, rule.words)
                 kept, at = [], 0
                 for start, end in ranges:
@@ -330,18 +385,18 @@ def remove_passages(documents: DataFrame, rule: Passages | None = None, carry: l
     blank) and factors (what was removed and where it came from).  A word goes if
     some window that covers it also starts in a document with a smaller doc_id;
     windows are judged on the input.  A null text has no words and stays null.
-    Rows without doc_id lose nothing.  Rows with equal doc_id and text are one
-    document; equal ids with different texts would share what is found for the
-    id, so such input is to be numbered anew first.  Other columns are ignored.
+    Rows without doc_id lose nothing.  Rows of one doc_id are one document, also
+    with different texts: they do not make each other's windows duplicates, and
+    each loses what an earlier document has of it.  Other columns are ignored.
     """
     rule = rule or Passages()
-    spans = duplicate_spans(documents, rule).groupBy("doc_id").agg(F.collect_set(F.struct("at", "windows", "source", "source_at")).alias("found"))
-    spans = spans.select(F.col("doc_id").alias("of"), "found")
     doc_id = F.col("`doc_id`").cast("long")
     texts = documents.select(
         doc_id.alias("_id"), F.struct(*(carry or [doc_id.alias("doc_id")])).alias("row"), F.col("`text`").cast("string").cast("binary").alias("text")
     )
-    joined = texts.join(spans.hint("merge"), F.expr("_id = of"), "left").select("row", "text", "found")
+    found = F.collect_set(F.struct("at", "windows", "source", "source_at", "check")).alias("found")
+    spans = duplicate_spans(texts, rule).groupBy(F.col("doc_id").alias("of")).agg(found)
+    joined = texts.join(spans.hint("merge"), F.expr("_id <=> of"), "left").select("row", "text", "found")
     row = joined.schema["row"].dataType.simpleString()
     rest = joined.mapInArrow(
         _rest(rule),

@@ -125,6 +125,37 @@ def test_passages_equal_brute_force(docs, rows, none, monkeypatch):
     assert substring_dedup.remove_passages(none).collect() == []
 
 
+def test_passages_of_equal_ids_and_common_phrases(spark):
+    """Texts that share an id lose their own repeats only; a phrase that all documents share costs nothing."""
+    passage, other = words(30, 21), words(25, 22)
+    table = [(1, passage + words(20, 23)), (2, other), (5, words(9, 24) + passage), (5, other), (5, passage), (5, ["short"]), (7, other[:14])]
+    phrase = "one phrase of all documents".split()
+    table += [(100 + i, words(8, 1000 + i, 9999) + phrase + words(8, 5000 + i, 9999)) for i in range(500)]
+    table = [(i, " ".join(t), None, None, None, None) for i, t in table]
+    got = substring_dedup.remove_passages(spark.createDataFrame(table, SCHEMA).repartition(6)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    lost = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in got if r["n_removed"]}
+    assert lost == {(5, 39): 30, (5, 25): 25, (5, 30): 30, (7, 14): 14}
+
+
+def test_windows_are_compared_in_full():
+    import pyarrow as pa
+
+    rows = [(0, 5, d, 0, [d << 32 | 9, (d % 2) << 62 | 1 << 40]) for d in range(4)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(substring_dedup._ROWS.names, r, strict=True)) for r in rows], schema=substring_dedup._ROWS)
+    found = [r for b in substring_dedup._settle(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["doc_id"], r["at"], r["windows"][:3]) for r in found) == [(2, 1, [1, 0, 1]), (3, 1, [1, 1, 1])]
+
+
+def test_anchors_of_one_document_go_no_further():
+    import pyarrow as pa
+
+    rows = [(1, 4), (2, 4), (2, 4), (2, 6), (3, 1), (3, 1), (4, 1), (4, 2), (4, 3), (5, 9)]
+    for size in (1, 2, 3, 20):
+        batches = [pa.RecordBatch.from_pylist([dict(anchor=a, doc_id=d) for a, d in rows[i : i + size]]) for i in range(0, len(rows), size)]
+        found = [tuple(r.values()) for b in substring_dedup._repeated(iter(batches)) for r in b.to_pylist()]
+        assert found == [(2, 4), (2, 6), (4, 1), (4, 2), (4, 3)]
+
+
 def test_factors_follow_one_place_and_cover_boundaries():
     spans = [(0, 3, 7, 10), (3, 2, 7, 13), (5, 1, 8, 0), (20, 1, 7, 40)]
     assert substring_dedup.factorise(spans) == [(0, 5, 7, 10), (5, 1, 8, 0), (20, 1, 7, 40)]
