@@ -22,10 +22,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar five-word shingles the one with the smallest doc_id."""
+    """Of documents linked by similar five-word shingles the one with the smallest doc_id.
+
+    Rows without doc_id all stay, as nothing names the one to keep.
+    """
     linked = ngram_join.link(docs, ngram_join.Rule(words=5, percent=80))
-    kept = linked.filter(F.expr("doc_id <=> component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(*COLUMNS).join(kept.hint("merge"), F.expr("doc_id <=> kept_id"), "left_semi")
+    kept = linked.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(*COLUMNS).join(kept.hint("merge"), F.expr("doc_id = kept_id"), "left")
+    rows = rows.filter("kept_id is not null or doc_id is null").drop("kept_id")
     # repeated rows of one document are a group too
     repeat = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang", "n_chars")
     return rows.withColumn("_row", F.row_number().over(repeat)).filter("_row = 1 or doc_id is null").select(*COLUMNS)

@@ -160,6 +160,17 @@ def test_pipeline_stages(spark):
     assert set(mix) <= set(clean) and {"shard", "copy"} <= set(tables[-1].columns)
 
 
+def test_rows_without_id_stay_in_the_pipeline(spark):
+    """Whether another row without id exists makes no difference to a linked one."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text), (6, text), (None, text), (7, "something else here"), (7, "something else here")]
+    for more in ([], [(None, "unrelated words")]):
+        table = [(i, t, None, None, None) for i, t in rows + more]
+        docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+        kept = corpus_pipeline.one_of_each_group(spark, docs, DATA).collect()
+        assert sorted(str(r["doc_id"]) for r in kept) == sorted(["5", "7", "None"] + ["None"] * len(more))
+
+
 def test_pipeline_of_nothing(spark):
     empty = spark.read.parquet(f"{DATA}/documents.parquet").filter("false")
     for name, stage in corpus_pipeline.STAGES:
