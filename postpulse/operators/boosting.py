@@ -27,6 +27,7 @@ from pyspark.storagelevel import StorageLevel
 from postpulse.session import cut_lineage
 
 BINS = 16
+TASK_ENTRIES = 300_000  # entries of sparse rows that one task works on
 STORED_ROUNDS = 20  # rounds after which margins are written down
 LEAST_GAIN = 1e-12
 _MIX = 0x9E3779B97F4A7C15
@@ -324,17 +325,21 @@ def fit_boosted(rows: DataFrame, classes: int, setting: Setting, slots: int | No
 
     A leaf that does not split keeps its value; a class whose residuals offer no
     gain gets a single leaf.  ``slots`` is the number of partitions that a level's
-    sums are dealt to (the session's shuffle partitions by default).
+    sums are dealt to (by default the session's shuffle partitions, fewer for few rows).
     """
     spark = rows.sparkSession
-    slots = slots or int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = cut_lineage(bin_edges(rows), "edges")
     table = binned(rows, edges, ["label"])
     counts = dict(rows.groupBy("label").count().collect())
     shares = np.array([counts.get(k, 0) for k in range(classes)], float)
     # a class without rows starts as if it had a millionth of one
     start = np.log(np.maximum(shares, 1e-6) / max(shares.sum(), 1.0)).tolist()
-    table = cut_lineage(table.withColumn("margins", F.array(*[F.lit(s) for s in start])), "boosting").persist(StorageLevel.MEMORY_AND_DISK)
+    table = cut_lineage(table.withColumn("margins", F.array(*[F.lit(s) for s in start])), "boosting")
+    # a level is a job of its own: few tasks while the stored rows are small
+    entries = table.agg(F.sum(F.size("ids"))).first()[0] or 0
+    parts = 1 + entries // TASK_ENTRIES
+    slots = slots or min(2 * parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = table.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
     done: list[list[Tree]] = []
     stored = 0
     try:
@@ -342,7 +347,7 @@ def fit_boosted(rows: DataFrame, classes: int, setting: Setting, slots: int | No
             if number - stored >= STORED_ROUNDS:
                 schema = table.schema
                 moved = table.mapInArrow(_with_margins(done[stored:number], classes, setting.learning_rate), schema)
-                moved = cut_lineage(moved, "boosting").persist(StorageLevel.MEMORY_AND_DISK)
+                moved = cut_lineage(moved, "boosting").coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
                 table.unpersist()
                 table, stored = moved, number
             done.append(_grow(table, done[stored:], number, classes, setting, slots))
