@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postpulse.functions.text import map_pos
+from postpulse.session import cut_lineage
 
 DEFAULT_TAG = "NN"  # a token nobody tagged is taken for a noun
-MAX_LOCAL_ENTRIES = 200_000
+MAX_LOCAL_BYTES, ENTRY_BYTES = 16 << 20, 32  # a lexicon that travels with the tasks; what an entry takes beside its text
 
 
 def join_lexicon(tags: DataFrame, lemmas: DataFrame) -> DataFrame:
@@ -32,24 +31,18 @@ def effective_lemmas(lexicon: DataFrame) -> DataFrame:
     return changing.groupBy("token").agg(first["lemma"].alias("lemma"))
 
 
-def lemmatise(
-    docs: DataFrame,
-    lexicon: DataFrame,
-    tokens: str = "tokens",
-    key: Sequence[str] = ("subreddit", "ID"),
-    max_local: int = MAX_LOCAL_ENTRIES,
-) -> DataFrame:
-    """Replace every token by its lemma; tokens outside the lexicon stay as they are.
+def lemmatise(docs: DataFrame, lexicon: DataFrame, tokens: str = "tokens", max_local: int = MAX_LOCAL_BYTES) -> DataFrame:
+    """Replace every token by its lemma; tokens outside the lexicon, null tokens and null arrays stay as they are.
 
-    A lexicon of at most ``max_local`` entries travels with the tasks and token
+    A lexicon of at most ``max_local`` bytes travels with the tasks and token
     arrays are mapped in Arrow batches, without any shuffle.  A larger one is
-    joined per token and the arrays are rebuilt in order.
+    joined with the distinct tokens of each row; the result is the same.
     """
-    lemmas = effective_lemmas(lexicon)
-    local = lemmas.limit(max_local + 1).toArrow()
-    if local.num_rows <= max_local:
-        return docs.withColumn(tokens, _local_lookup(local)(F.col(tokens)))
-    return lemmatise_by_join(docs, lemmas, tokens, key)
+    lemmas = cut_lineage(effective_lemmas(lexicon), "lemmas")
+    size = lemmas.agg(F.sum(F.octet_length("token") + F.octet_length("lemma") + ENTRY_BYTES)).first()[0] or 0
+    if size <= max_local:
+        return docs.withColumn(tokens, _local_lookup(lemmas.toArrow())(F.col(tokens)))
+    return lemmatise_by_join(docs, lemmas, tokens)
 
 
 def _local_lookup(table: pa.Table):
@@ -68,23 +61,24 @@ def _local_lookup(table: pa.Table):
     return swap
 
 
-def lemmatise_by_join(
-    docs: DataFrame,
-    lemmas: DataFrame,
-    tokens: str = "tokens",
-    key: Sequence[str] = ("subreddit", "ID"),
-) -> DataFrame:
-    """The same result through joins, for lexicons of any size; ``key`` must be unique."""
-    key = list(key)
-    words = docs.select(*key, F.posexplode_outer(tokens).alias("_pos", "token"))
-    joined = words.join(lemmas, "token", "left")
-    pair = F.struct(F.col("_pos").alias("pos"), F.coalesce("lemma", "token").alias("word"))
-    rebuilt = joined.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), pair))).alias("_pairs")
-    )
-    rebuilt = rebuilt.select(*key, F.transform("_pairs", lambda p: p["word"]).alias(tokens))
-    others = docs.drop(tokens)
-    same = [others[k].eqNullSafe(rebuilt[k]) for k in key]
-    return others.join(rebuilt, same, "left").select(
-        *[rebuilt[c] if c == tokens else others[c] for c in docs.columns]
-    )
+def _swap_own(lists: pa.Array, found: pa.Array) -> pa.Array:
+    """Each row's tokens by the row's own (token, lemma) pairs."""
+    swapped = []
+    for words, pairs in zip(lists.to_pylist(), found.to_pylist(), strict=True):
+        lemma = {p["token"]: p["lemma"] for p in pairs or ()}
+        swapped.append(words and [lemma.get(word, word) for word in words])
+    return pa.array(swapped, pa.list_(pa.string()))
+
+
+def lemmatise_by_join(docs: DataFrame, lemmas: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """The same result for lexicons of any size.
+
+    Rows are numbered, so equal keys do not matter.  Every row sends its distinct
+    tokens to the lexicon once and gets back those that change.
+    """
+    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()), "to-lemmatise")
+    words = rows.select("_row", F.explode(F.array_distinct(tokens)).alias("token"))
+    pair = F.struct("token", "lemma")
+    found = words.join(lemmas.hint("merge"), "token").groupBy("_row").agg(F.collect_list(pair).alias("_found"))
+    joined = rows.join(found, "_row", "left").withColumn(tokens, F.arrow_udf(_swap_own, "array<string>")(F.col(tokens), F.col("_found")))
+    return joined.select(*docs.columns)

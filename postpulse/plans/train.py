@@ -49,11 +49,10 @@ def tokens_of(
     posts: DataFrame,
     lexicon: DataFrame | None = None,
     stopwords: Iterable[str] = STOPWORDS,
-    key: Sequence[str] = KEY,
 ) -> DataFrame:
     """Add ``tokens``: the one text chain that training and analysis share."""
     docs = drop_missing(posts).withColumn("tokens", normalise_tokens(combined_text(), stopwords))
-    return docs if lexicon is None else lemmatise(docs, lexicon, key=key)
+    return docs if lexicon is None else lemmatise(docs, lexicon)
 
 
 def training_set(
@@ -79,7 +78,7 @@ def training_set(
     rows = balanced.select(
         F.col(origin[0]).alias("subreddit"), F.col(origin[1]).alias("ID"), "title", "content", "sentiment"
     )
-    return tokens_of(rows, lexicon, key=key).select(*key, "sentiment", "tokens")
+    return tokens_of(rows, lexicon).select(*key, "sentiment", "tokens")
 
 
 def train(

@@ -1,4 +1,4 @@
-from postpulse.streaming.counts import read_daily_counts, store_daily_counts, stream_daily_counts
+from postpulse.streaming.counts import compact_daily_counts, read_daily_counts, store_daily_counts, stream_daily_counts
 from postpulse.streaming.ingest import stream_ingest
 
-__all__ = ["read_daily_counts", "store_daily_counts", "stream_daily_counts", "stream_ingest"]
+__all__ = ["compact_daily_counts", "read_daily_counts", "store_daily_counts", "stream_daily_counts", "stream_ingest"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from postpulse.operators.ingest import dedupe_first_seen, limit_per_listing, new_posts, to_posts, union_listings
 from postpulse.plans import collect
 from postpulse.sources import LISTING_SCHEMA, read_stored, write_listings
-from postpulse.streaming import read_daily_counts, store_daily_counts, stream_daily_counts, stream_ingest
+from postpulse.streaming import compact_daily_counts, read_daily_counts, store_daily_counts, stream_daily_counts, stream_ingest
 from postpulse.streaming.ingest import read_listing_stream
 
 ROWS = [
@@ -129,3 +129,25 @@ def test_stored_counts_take_late_rows(spark, frame, tmp_path):
         feed = spark.readStream.schema("date timestamp, label int").parquet(source)
         store_daily_counts(feed, sink, checkpoint).awaitTermination()
     assert sorted(values(read_daily_counts(spark, sink))) == [(DAY(1).date(), 1, 0, 1), (DAY(9).date(), 0, 0, 1)]
+
+
+def test_compacted_counts_equal_the_batches(spark, frame, tmp_path):
+    source, sink, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    assert compact_daily_counts(spark, sink) == -1 and values(read_daily_counts(spark, sink)) == []
+
+    def add(rows, source=source, checkpoint=checkpoint):
+        frame(rows, "date timestamp, label int").coalesce(1).write.mode("append").parquet(source)
+        feed = spark.readStream.schema("date timestamp, label int").parquet(source)
+        store_daily_counts(feed, sink, checkpoint).awaitTermination()
+        return sorted(values(read_daily_counts(spark, sink)))
+
+    add([(DAY(1), -1), (DAY(9), 1)])
+    before = add([(DAY(1), 1), (DAY(3), 0)])
+    first = compact_daily_counts(spark, sink)
+    assert first >= 0 and sorted(values(read_daily_counts(spark, sink))) == before
+    after = add([(DAY(3), 0), (DAY(4), 1)])
+    assert after == [(DAY(1).date(), 1, 0, 1), (DAY(3).date(), 0, 2, 0), (DAY(4).date(), 0, 0, 1), (DAY(9).date(), 0, 0, 1)]
+    assert any(f"upto={first}" in file for file in read_daily_counts(spark, sink).inputFiles())
+    assert compact_daily_counts(spark, sink) > first and sorted(values(read_daily_counts(spark, sink))) == after
+    # a new checkpoint counts another feed from the start; nothing of the old one is served
+    assert add([(DAY(1), 0)], str(tmp_path / "other"), str(tmp_path / "renewed")) == [(DAY(1).date(), 0, 1, 0)]

@@ -153,3 +153,15 @@ def test_labels_are_stored_and_scored_once(spark):
     first = sorted(labelled.filter("sentiment = 'positive'").select("ID").toPandas()["ID"])
     assert first == sorted(labelled.filter("sentiment = 'positive'").select("ID").toPandas()["ID"])
     assert labelled.count() == 200
+
+
+def test_lemmas_do_not_depend_on_the_lexicon_size(frame):
+    """Equal keys, null and empty arrays and null tokens, looked up in place and by the join."""
+    docs = frame(
+        [("a", "1", ["cats", "ran", None, "cats"]), ("a", "1", ["dogs"]), (None, None, ["cats"]), ("a", "2", []), ("a", "3", None), ("a", "4", [None])],
+        "subreddit string, ID string, tokens array<string>",
+    )
+    lexicon = frame([("cats", "NNS", "cat"), ("dogs", "NNS", "dog"), ("cat", "NN", "feline")], "token string, tag string, lemma string")
+    local, joined = (sorted(values(lemmatise(docs, lexicon, max_local=size)), key=str) for size in (1 << 20, 0))
+    assert local == joined and len(local) == 6
+    assert ("a", "1", ["cat", "ran", None, "cat"]) in local and ("a", "1", ["dog"]) in local and ("a", "3", None) in local
