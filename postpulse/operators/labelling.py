@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 from postpulse.functions.labels import NO_SENTIMENT, label_prompt, normalise_label
 from postpulse.functions.posts import combined_text
+from postpulse.session import scratch_path
+from postpulse.sources.folders import exists, folders
 
 Scorer = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 
@@ -55,6 +58,34 @@ def label_posts(
     return answers.withColumn("sentiment", normalise_label("_answer")).drop("_answer")
 
 
+def label_by_bucket(posts: DataFrame, scorer: Scorer, path: str, buckets: int = 64, key: Sequence[str] = ("subreddit", "ID")) -> DataFrame:
+    """Posts with ``sentiment``, kept below ``path``: a restart asks only about posts without a stored label.
+
+    Posts are dealt to ``buckets`` by their key, and each bucket's answers are
+    committed by a job of its own, so a failure costs the answers of one bucket.
+    Posts of one key are one post, a missing key is a value like others.
+    """
+    spark = posts.sparkSession
+    schema = T.StructType([*posts.schema.fields, T.StructField("sentiment", T.StringType())])
+    kept = f"{path}/labels"
+
+    def stored() -> DataFrame:
+        return spark.read.schema(schema).parquet(kept) if exists(spark, kept) else spark.createDataFrame([], schema)
+
+    known = stored().select(*[F.col(c).alias(f"_{c}") for c in key])
+    same = reduce(lambda a, b: a & b, [posts[c].eqNullSafe(known[f"_{c}"]) for c in key])
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    missing = posts.join(known, same, "left_anti").dropDuplicates(list(key)).withColumn("_bucket", bucket)
+    todo = scratch_path(spark, "to-label")
+    missing.write.partitionBy("_bucket").parquet(todo)
+    waiting = spark.read.schema(missing.schema).parquet(todo)
+    for name in folders(spark, todo):
+        number = int(name.removeprefix("_bucket="))
+        mine = waiting.filter(F.col("_bucket") == number).drop("_bucket")
+        label_posts(mine, scorer).select(*schema.fieldNames()).write.mode("append").parquet(kept)
+    return stored()
+
+
 def merge_neither(posts: DataFrame, mode: str = "relabel", keep: Iterable[str] = ()) -> DataFrame:
     """Fold ``neither`` into ``neutral``.
 

@@ -320,6 +320,15 @@ _add(
 SELECT subreddit, ID, CASE WHEN hit IN ('great', 'good', 'happy', 'love', 'thanks') THEN 'positive'
        WHEN hit = '' THEN 'neutral' ELSE 'negative' END AS sentiment FROM hits""",
 )
+_add(
+    "labelled_round_trip",
+    ORACLES["label_posts"].replace(
+        "SELECT subreddit, ID, CASE WHEN hit",
+        "SELECT ID, nullif(p.title, '') AS title, md5(nullif(p.content, '')) AS content_md5, "
+        "strftime(p.date, '%Y-%m-%d %H:%M:%S') AS date, CASE WHEN hit",
+    )
+    + " JOIN posts p USING (subreddit, ID)",
+)
 _add("merge_neither", _with(POSTS, SENTIMENTS, LABELLED, MERGED) + "SELECT subreddit, ID, sentiment FROM merged")
 _add(
     "merge_neither_compat",

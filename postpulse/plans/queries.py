@@ -241,6 +241,16 @@ def label_posts(t: Tables) -> DataFrame:
     return labelling.label_posts(t.posts(), labelling.keyword_scorer()).select("subreddit", "ID", "sentiment")
 
 
+@query
+def labelled_round_trip(t: Tables) -> DataFrame:
+    """Labels kept by bucket, handed on as CSV and read back."""
+    kept, path = scratch_path(t.spark, "labels"), scratch_path(t.spark, "labelled-csv")
+    labelled = labelling.label_by_bucket(t.posts(), labelling.keyword_scorer(), kept, buckets=4)
+    post_source.export_labelled(labelled, path)
+    back = post_source.read_labelled(t.spark, path)
+    return back.select("ID", "title", _digest("content").alias("content_md5"), _date_text("date").alias("date"), "sentiment")
+
+
 @query
 def merge_neither(t: Tables) -> DataFrame:
     return labelling.merge_neither(t.labelled()).select("subreddit", "ID", "sentiment")

@@ -12,7 +12,7 @@ from postpulse.functions.posts import combined_text
 from postpulse.functions.text import STOPWORDS, normalise_tokens
 from postpulse.operators.clean import drop_missing
 from postpulse.operators.evaluate import confusion
-from postpulse.operators.labelling import Scorer, label_posts, merge_neither
+from postpulse.operators.labelling import Scorer, label_by_bucket, label_posts, merge_neither
 from postpulse.operators.learning import (
     DEFAULT_ITERATIONS,
     MODEL_NAMES,
@@ -40,8 +40,13 @@ class TrainReport:
     confusion: DataFrame
 
 
-def label(posts: DataFrame, scorer: Scorer, partitions: int | None = None) -> DataFrame:
-    """Clean posts with a ``sentiment`` column, stored: every post is scored once, whatever reads the labels."""
+def label(posts: DataFrame, scorer: Scorer, partitions: int | None = None, path: str | None = None) -> DataFrame:
+    """Clean posts with a ``sentiment`` column, stored: every post is scored once, whatever reads the labels.
+
+    With ``path`` the labels are kept there, and a restart asks for those that are missing.
+    """
+    if path:
+        return label_by_bucket(posts, scorer, path)
     return cut_lineage(label_posts(posts, scorer, partitions), "labels")
 
 

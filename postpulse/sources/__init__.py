@@ -9,8 +9,10 @@ from postpulse.sources.posts import (
     NA_STRINGS,
     append_posts,
     export_csv,
+    export_labelled,
     na_to_null,
     parse_dates,
+    read_labelled,
     read_posts,
     read_source_files,
     read_stored,
@@ -26,8 +28,10 @@ __all__ = [
     "POST_FILE_SCHEMA",
     "append_posts",
     "export_csv",
+    "export_labelled",
     "na_to_null",
     "parse_dates",
+    "read_labelled",
     "read_listings",
     "read_posts",
     "read_source_files",

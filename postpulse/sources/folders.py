@@ -10,13 +10,19 @@ def _file_system(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    system, place = _file_system(spark, path)
+    return system.exists(place)
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in ``path``, sorted; none if it does not exist.  Hidden ones are left out."""
     system, place = _file_system(spark, path)
     if not system.exists(place):
         return []
     names = [entry.getPath().getName() for entry in system.listStatus(place) if entry.isDirectory()]
-    return sorted(name for name in names if name[0] not in "._")
+    # as for Spark, a leading underscore hides a name unless it is a partition column's
+    return sorted(name for name in names if name[0] != "." and (name[0] != "_" or "=" in name))
 
 
 def move_folder(spark: SparkSession, path: str, target: str) -> None:

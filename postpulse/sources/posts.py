@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postpulse.sources.records import scan_csv
-from postpulse.sources.schemas import POST_FILE_SCHEMA, STORED_POST_SCHEMA
+from postpulse.sources.schemas import LABELLED_FILE_SCHEMA, POST_FILE_SCHEMA, STORED_POST_SCHEMA
 
 # The texts a CSV field may hold that count as "no value".
 # Compared exactly, without trimming and without folding case.
@@ -153,3 +153,13 @@ def export_csv(frame: DataFrame, path: str, rows_per_file: int = 500_000) -> Non
         .option("maxRecordsPerFile", rows_per_file)
         .csv(path)
     )
+
+
+def export_labelled(posts: DataFrame, path: str) -> None:
+    """The hand-off between labelling and training: overwrite ``path`` with labelled post CSV."""
+    export_csv(posts.select(*LABELLED_FILE_SCHEMA.fieldNames()), path)
+
+
+def read_labelled(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Labelled post files with NA texts as null and dates parsed."""
+    return parse_dates(read_posts(spark, path, LABELLED_FILE_SCHEMA))
