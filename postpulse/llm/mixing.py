@@ -29,6 +29,8 @@ from postpulse.llm.tables import column, stored
 # Blocks per source: a fineness, not a limit on documents (blocks grow beyond it).
 MAX_BLOCKS = 4096
 BLOCK_DOCUMENTS = 32
+# Ranges of a shard's order, a power of two; a task sorts one.
+SLICES = 16
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -233,9 +235,11 @@ def plan_mix(documents: DataFrame, mix: Mix | None = None, keep: Callable[[DataF
 def mixed_rows(plan: Plan, seed: int = 17) -> DataFrame:
     """The mix itself: one row per copy with its shard, in shuffled order inside each shard.
 
-    Partitions are whole shards or several; each is sorted by a hash of shard, copy and document.
+    The order is a hash of shard, copy and document.  A shard is cut into ``SLICES``
+    ranges of it, so that no task sorts a whole shard; each range is in order.
     """
     copies = plan.rows.select("*", F.posexplode("shards").alias("copy", "shard"))
     order = F.xxhash64(F.lit(seed), "shard", "copy", "_u")
-    ordered = copies.withColumn("_order", order).repartition(plan.shards, "shard").sortWithinPartitions("shard", "_order")
-    return ordered.drop("_order", "_u", "shards")
+    placed = copies.withColumn("_order", order).withColumn("_slice", F.shiftrightunsigned("_order", 64 - SLICES.bit_length() + 1))
+    ordered = placed.repartition(plan.shards * SLICES, "shard", "_slice").sortWithinPartitions("shard", "_slice", "_order")
+    return ordered.drop("_order", "_slice", "_u", "shards")
