@@ -357,6 +357,7 @@ _add(
     _with(LISTINGS, FIRST_SEEN)
     + "SELECT subreddit, id, listing, time_filter, listing_rank, position, md5(selftext) AS selftext_md5 FROM first_seen",
 )
+_add("stream_sightings", ORACLES["dedupe_first_seen"])
 _add(
     "limit_per_listing",
     _with(LISTINGS)

@@ -17,7 +17,7 @@ from postpulse.plans.views import ANALYSIS, Tables, scored_event_columns
 from postpulse.session import cut_lineage, scratch_path
 from postpulse.sources import listings as listing_source
 from postpulse.sources import posts as post_source
-from postpulse.streaming import read_daily_counts, store_daily_counts, stream_ingest
+from postpulse.streaming import read_daily_counts, read_sightings, store_daily_counts, store_sightings, stream_ingest
 from postpulse.streaming.ingest import read_listing_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -597,6 +597,20 @@ def stream_ingest_posts(t: Tables) -> DataFrame:
     return _post_rows(post_source.read_stored(t.spark, table))
 
 
+@query
+def stream_sightings(t: Tables) -> DataFrame:
+    """Listings land from the least to the most telling one; each dump is a run of its own."""
+    landed, kept, checkpoint = (scratch_path(t.spark, name) for name in ("landed", "sightings", "checkpoint"))
+    late = F.col("listing").isin("top", "controversial")
+    for dump in (t.listings().filter(~late), t.listings().filter(late)):
+        listing_source.write_listings(dump, landed, "parquet")
+        feed = read_listing_stream(t.spark, landed, "parquet", max_files_per_trigger=1_000)
+        store_sightings(feed, kept, checkpoint).awaitTermination()
+    return read_sightings(t.spark, kept).select(
+        "subreddit", "id", "listing", "time_filter", "listing_rank", "position", _digest("selftext").alias("selftext_md5")
+    )
+
+
 @query
 def stream_counts(t: Tables) -> DataFrame:
     events = t.table("events")
