@@ -25,10 +25,17 @@ from pyspark.sql import types as T
 _HEAD, _TAIL = 1, 2  # pieces of a record that began in an earlier split, or goes on in a later one
 
 
-def _lines(spark: SparkSession, path: str | list[str], keep: Mapping[str, Column]) -> DataFrame:
-    """Lines in file order inside each split, with the split they belong to."""
+def _never_cut(spark: SparkSession) -> int:
+    """File size up to which Spark makes one split of a file, whatever else is read."""
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    return min(size(spark.conf.get(f"spark.sql.files.{name}")) for name in ("maxPartitionBytes", "openCostInBytes"))
+
+
+def _lines(spark: SparkSession, path: str | list[str], keep: Mapping[str, Column], above: int = -1) -> DataFrame:
+    """Lines in file order inside each split, with the split they belong to; of files larger than ``above``."""
     meta = F.col("_metadata")
-    return spark.read.text(path, lineSep="\n").select(
+    # a condition on file sizes is settled when files are listed
+    return spark.read.text(path, lineSep="\n").filter(meta["file_size"] > above).select(
         F.col("value").alias("line"),
         F.xxhash64(meta["file_path"]).alias("file"),
         meta["file_block_start"].alias("start"),
@@ -141,16 +148,19 @@ def read_records(
     takes the rest of its file.
     """
     keep = dict(keep or {})
-    lines = _lines(spark, path, keep)
-    states = split_states(lines)
-    # a broadcast join leaves the lines in their order
-    placed = lines.join(F.broadcast(states), ["file", "start"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    lines, large = _lines(spark, path, keep), _lines(spark, path, keep, _never_cut(spark))
+    states = split_states(large)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        # a broadcast join leaves the lines in their order
+        return rows.join(F.broadcast(states), ["file", "start"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema.fields if f.name in keep}
     kept_sql = "".join(f", `{name}` {kind}" for name, kind in kinds.items())
     schema = "file long, start long, kind int, dropped boolean, record string" + kept_sql
     columns = ["line", "file", "start", "open", *keep]
-    whole = placed.select(*columns).mapInArrow(_cutter(header, False, list(keep)), schema)
-    pieces = placed.filter("cut").select(*columns).mapInArrow(_cutter(header, True, list(keep)), schema)
+    whole = placed(lines).select(*columns).mapInArrow(_cutter(header, False, list(keep)), schema)
+    pieces = placed(large).filter("cut").select(*columns).mapInArrow(_cutter(header, True, list(keep)), schema)
     order = W.partitionBy("file").orderBy("start", "kind")
     numbered = pieces.withColumn("number", F.sum((F.col("kind") == _TAIL).cast("int")).over(order))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("start", "kind", "record"))), lambda p: p["record"])
