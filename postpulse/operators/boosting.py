@@ -328,7 +328,12 @@ def fit_boosted(rows: DataFrame, classes: int, setting: Setting, slots: int | No
     sums are dealt to (by default the session's shuffle partitions, fewer for few rows).
     """
     spark = rows.sparkSession
-    edges = cut_lineage(bin_edges(rows), "edges")
+    edges = bin_edges(rows)
+    if setting.min_leaf > 1:
+        # the right side of a split holds its term: rarer terms never split
+        held = rows.select(F.explode("ids").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+        edges = edges.join(held.filter(F.col("n") >= setting.min_leaf), "term", "left_semi")
+    edges = cut_lineage(edges, "edges")
     table = binned(rows, edges, ["label"])
     counts = dict(rows.groupBy("label").count().collect())
     shares = np.array([counts.get(k, 0) for k in range(classes)], float)

@@ -500,7 +500,7 @@ def svm_predict(t: Tables) -> DataFrame:
 
 @query
 def gbt_predict(t: Tables) -> DataFrame:
-    return _ml_predict(t, "GBDT", {"n_estimators": 80, "max_depth": 3})
+    return _ml_predict(t, "GBDT", {"n_estimators": 80, "max_depth": 3, "min_samples_leaf": 5})
 
 
 @query
