@@ -3,10 +3,12 @@
 Every round grows one regression tree per class, all fitted to the same softmax
 probabilities: the residual ``y - p`` of a class is its tree's target, splits
 maximise the weighted squared difference of the sides' means, and a leaf takes a
-Newton step.  The trees of a round grow level by level together; a level is one
-pass over the rows that adds up residuals per (class, node, term, bin) inside
-each task and one shuffle by term, after which each partition offers its best
-split per node.  What reaches the driver is that offer, and the model.
+Newton step.  The trees of a round grow level by level together.  Rows are stored
+twice: in blocks, and dealt by term into cells, one per block and slot of terms.
+A level is one pass over the blocks that tells each row's node and residuals and
+one shuffle of this state to the cells, which stay where they are; each slot adds
+up its terms' sums and offers its best split per node.  What reaches the driver
+is that offer, and the model.
 
 Weights are replaced by bin numbers (0: term absent) before the first round.
 Margins are recomputed from the trees grown since they were last stored with the
@@ -20,14 +22,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from postpulse.operators.numbering import number_rows
 from postpulse.session import cut_lineage
 
 BINS = 16
 TASK_ENTRIES = 300_000  # entries of sparse rows that one task works on
+BLOCK_ROWS = 4096  # rows whose state travels together
+MOST_SLOTS = 24  # partitions of terms; each is sent the state of all rows once a level
 STORED_ROUNDS = 20  # rounds after which margins are written down
 LEAST_GAIN = 1e-12
 _MIX = 0x9E3779B97F4A7C15
@@ -103,10 +109,6 @@ def softmax(margins: np.ndarray) -> np.ndarray:
     return power / power.sum(axis=1, keepdims=True)
 
 
-def _margins(column: pa.Array, classes: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, classes).copy()
-
-
 def sampled(marks: np.ndarray, number: int, setting: Setting) -> np.ndarray:
     """Rows that a round uses; a row's part in it depends on its mark, the round and the seed only."""
     if setting.subsample >= 1:
@@ -118,72 +120,80 @@ def sampled(marks: np.ndarray, number: int, setting: Setting) -> np.ndarray:
     return x.astype(float) / 2.0**53 < setting.subsample
 
 
-_SUMS = pa.schema([("slot", pa.int32()), ("place", pa.int32()), ("term", pa.int64()), ("bin", pa.int32()), ("g", pa.float64()), ("h", pa.float64()), ("n", pa.int64())])
-_SUMS_SQL = "slot int, place int, term long, bin int, g double, h double, n long"
+class _Block(_Rows):
+    """A block of training rows as stored: its entries sorted by term, its labels, marks and margins."""
 
+    def __init__(self, row: dict, classes: int):
+        self.label, self.mark = np.frombuffer(row["label"], np.int32), np.frombuffer(row["mark"], np.int64)
+        self.margins = np.frombuffer(row["margins"], float).reshape(-1, classes)
+        self.term, self.cell, self.owner = (np.frombuffer(row[c], np.int32) for c in ("term", "cell", "owner"))
+        self.count = len(self.label)
 
-def _sums(rounds: list, growing: list[Tree], level: int, number: int, classes: int, setting: Setting, slots: int):
-    """Sums of residuals over a task's rows, per (class and node, term, bin), and per node as term -1.
 
-    ``place`` numbers class and node; node sums are sent to every slot.
-    """
-    first, width = 2**level - 1, 2**level
+_BLOCK_SQL = "block long, label binary, mark binary, margins binary, term binary, cell binary, owner binary"
+_STATE_SQL = "block long, node binary, residual binary"
+
+
+def _blocks(start: Sequence[float]):
+    """Rows put together to blocks of at most ``BLOCK_ROWS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = _Rows(batch.column("ids"), batch.column("bins"))
-            margins = rows.add(_margins(batch.column("margins"), classes), rounds, setting.learning_rate)
-            label = batch.column("label").to_numpy()
-            use = sampled(batch.column("mark").to_numpy(), number, setting)
-            residual = (label[:, None] == np.arange(classes)) - softmax(margins)
-            hessian = np.abs(residual) * (1 - np.abs(residual))
-            code = rows.term * (BINS + 1) + rows.cell
-            change = np.r_[True, code[1:] != code[:-1]] if len(code) else np.empty(0, bool)
-            group = np.cumsum(change) - 1
-            term, cell = rows.term[change], rows.cell[change]
-            for k, tree in enumerate(growing):
-                node = rows.nodes(tree) - first
-                node[(node < 0) | ~use] = -1
-                live = node >= 0
-                size = np.bincount(node[live], minlength=width)
-                sums = [np.bincount(node[live], v[live, k], minlength=width) for v in (residual, hessian)]
-                there = np.flatnonzero(size)
-                copies = np.tile(there, slots)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(np.arange(slots), len(there)), pa.int32()),
-                        pa.array(k * width + copies, pa.int32()),
-                        pa.array(np.full(len(copies), -1), pa.int64()),
-                        pa.array(np.zeros(len(copies)), pa.int32()),
-                        *[pa.array(s[copies]) for s in sums],
-                        pa.array(size[copies], pa.int64()),
-                    ],
-                    schema=_SUMS,
-                )
-                # cells of entries: which (term, bin), in which node
-                owner_node = node[rows.owner]
-                inside = owner_node >= 0
-                cells = group[inside] * width + owner_node[inside]
-                count = np.bincount(cells, minlength=len(term) * width)
-                filled = np.flatnonzero(count)
-                if not len(filled):
-                    continue
-                owners = rows.owner[inside]
-                g, h = (np.bincount(cells, v[owners, k], minlength=len(count))[filled] for v in (residual, hessian))
-                which, at = filled // width, filled % width
+            for first in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(first, BLOCK_ROWS)
+                rows = _Rows(part.column("ids"), part.column("bins"))
+                kinds = (part.column("label").to_numpy(), np.int32), (part.column("mark").to_numpy(), np.int64), (np.tile(np.array(start), (rows.count, 1)), float)
+                entries = ((v, np.int32) for v in (rows.term, rows.cell, rows.owner))
+                values = [np.ascontiguousarray(v, kind).tobytes() for v, kind in (*kinds, *entries)]
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([v], pa.binary()) for v in values]], names=["block", "label", "mark", "margins", "term", "cell", "owner"])
+                number += 1
+
+    return run
+
+
+def _rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(batch.num_rows):
+        yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+
+
+def _cells(slots: Sequence[int]):
+    """Every block's entries dealt by term: one row per block and slot, also where a block has no such term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows_of(batch.select(["block", "term", "cell", "owner"])):
+                term, cell, owner = (np.frombuffer(row[c], np.int32) for c in ("term", "cell", "owner"))
+                code = (term // len(slots)).astype(np.int64) * (BINS + 1) + cell
+                for place, slot in enumerate(slots):
+                    mine = term % len(slots) == place
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([slot], pa.int64()),
+                            pa.array([place], pa.int32()),
+                            pa.array([row["block"]], pa.int64()),
+                            pa.array([code[mine].tobytes()], pa.binary()),
+                            pa.array([owner[mine].tobytes()], pa.binary()),
+                        ],
+                        names=["slot", "place", "block", "code", "owner"],
+                    )
+
+    return run
+
+
+def _state(rounds: list, growing: list[Tree], level: int, number: int, classes: int, setting: Setting):
+    """Per block the node of every row in the trees that grow (-1: in none of this level) and its residuals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows_of(batch):
+                rows = _Block(row, classes)
+                margins = rows.add(rows.margins.copy(), rounds, setting.learning_rate)
+                residual = (rows.label[:, None] == np.arange(classes)) - softmax(margins)
+                node = np.stack([rows.nodes(tree) for tree in growing], axis=1) - (2**level - 1)
+                node[(node < 0) | ~sampled(rows.mark, number, setting)[:, None]] = -1
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(term[which] % slots, pa.int32()),
-                        pa.array(k * width + at, pa.int32()),
-                        pa.array(term[which], pa.int64()),
-                        pa.array(cell[which], pa.int32()),
-                        pa.array(g),
-                        pa.array(h),
-                        pa.array(count[filled], pa.int64()),
-                    ],
-                    schema=_SUMS,
+                    [pa.array([row["block"]], pa.int64()), pa.array([node.astype(np.int32).tobytes()], pa.binary()), pa.array([residual.tobytes()], pa.binary())], names=["block", "node", "residual"]
                 )
 
     return run
@@ -192,57 +202,66 @@ def _sums(rounds: list, growing: list[Tree], level: int, number: int, classes: i
 _OFFER_SQL = "place int, gain double, term long, bin int, g double, h double, n long, all_g double, all_h double, all_n long"
 
 
-def best_splits(sums: dict[str, np.ndarray], min_leaf: int) -> dict[str, np.ndarray]:
-    """Per place the best split among the terms given, with the sums of its right side and of the node.
+def best_splits(sums: np.ndarray, totals: np.ndarray, min_leaf: int) -> list[tuple]:
+    """Per place with rows: its best split among the terms given, and the sums of its right side and of the place.
 
-    Equal gains go to the lower term, then to the lower bin.  A place without a
-    split that is allowed comes back with term -1 and gain 0.
+    ``sums`` holds residuals, hessians and counts by (kind, place, term, bin), ``totals``
+    by (kind, place).  Equal gains go to the lower term, then to the lower bin.  A
+    place without a split that is allowed has term -1 and gain 0.
     """
-    total = sums["term"] < 0
-    one_slot = total & (sums["slot"] == sums["slot"].min()) if len(total) else total
-    places = int(sums["place"].max()) + 1 if len(total) else 0
-    every = {c: np.bincount(sums["place"][one_slot], sums[c][one_slot], minlength=places) for c in ("g", "h", "n")}
-    order = np.lexsort((-sums["bin"][~total], sums["term"][~total], sums["place"][~total]))
-    place, term, cell, g, h, n = (sums[c][~total][order] for c in ("place", "term", "bin", "g", "h", "n"))
-    if len(place):
-        first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (term[1:] != term[:-1]) | (cell[1:] != cell[:-1])])
-        place, term, cell = place[first], term[first], cell[first]
-        g, h, n = (np.add.reduceat(v, first) for v in (g, h, n))
-        # from the highest bin down: everything at or above a bin lies to its right
-        begin = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (term[1:] != term[:-1])])
-        length = np.diff(np.r_[begin, len(place)])
-        g, h, n = (np.cumsum(v) - np.repeat(np.cumsum(v)[begin] - v[begin], length) for v in (g, h, n))
-        left_g, left_n = every["g"][place] - g, every["n"][place] - n
-        allowed = (n >= min_leaf) & (left_n >= min_leaf) & (left_n > 0)
+    found = []
+    for place in np.flatnonzero(totals[2]):
+        g, h, n = (np.cumsum(v[:, ::-1], axis=1)[:, ::-1] for v in sums[:, place])  # everything at or above a bin
+        all_g, all_h, all_n = totals[:, place]
+        left_n = all_n - n
+        allowed = (sums[2, place] > 0) & (n >= min_leaf) & (left_n >= min_leaf) & (left_n > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(allowed, n * left_n / (n + left_n) * (g / n - left_g / left_n) ** 2, 0.0)
-        # gains that differ by rounding only count as equal
-        keys = (cell, term, -np.round(gain, 10), place)
-        order = np.lexsort(keys)
-        lead = order[np.flatnonzero(np.r_[True, place[order][1:] != place[order][:-1]])]
-        lead = lead[gain[lead] > LEAST_GAIN]
-    else:
-        lead, gain = np.empty(0, np.int64), np.empty(0)
-    known = np.flatnonzero(every["n"])
-    result = {"place": known, "gain": np.zeros(len(known)), "term": np.full(len(known), -1), "bin": np.zeros(len(known), np.int64)}
-    result |= {"g": np.zeros(len(known)), "h": np.zeros(len(known)), "n": np.zeros(len(known), np.int64)}
-    result |= {f"all_{c}": every[c][known] for c in ("g", "h", "n")}
-    at = np.searchsorted(known, place[lead])
-    # right of a split at bin b is everything above b
-    for name, values in (("gain", gain), ("term", term), ("bin", cell - 1), ("g", g), ("h", h), ("n", n)):
-        result[name][at] = values[lead]
-    return result
-
-
-def _offers(min_leaf: int):
+            gain = np.where(allowed, n * left_n / (n + left_n) * (g / n - (all_g - g) / left_n) ** 2, 0.0)
+        # gains that differ by rounding only count as equal; the first is that of the lowest term and bin
+        at = int(np.round(gain, 10).argmax()) if gain.size else 0
+        best = (0.0, -1, 0, 0.0, 0.0, 0)
+        if gain.size and gain.flat[at] > LEAST_GAIN:
+            # right of a split at bin b is everything above b
+            best = (float(gain.flat[at]), at // (BINS + 1), at % (BINS + 1) - 1, float(g.flat[at]), float(h.flat[at]), round(n.flat[at]))
+        found.append((int(place), *best, float(all_g), float(all_h), round(all_n)))
+    return found
+
+
+def _offers(classes: int, width: int, slots: int, size: int, min_leaf: int):
+    """Best splits among the terms of a slot, from its cells and the state of all blocks."""
+    places, codes = classes * width, -(-size // slots) * (BINS + 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        found = best_splits({name: table.column(name).to_numpy() for name in table.schema.names}, min_leaf)
-        kinds = {"place": pa.int32(), "bin": pa.int32(), "term": pa.int64(), "n": pa.int64(), "all_n": pa.int64()}
-        yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.float64()), safe=False) for c, v in found.items()], names=list(found))
+        sums: dict[int, np.ndarray] = {}
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row in _rows_of(batch):
+                slot = row["place"]
+                if slot not in sums:
+                    sums[slot], totals[slot] = np.zeros((3, places, codes)), np.zeros((3, places))
+                code, owner = np.frombuffer(row["code"], np.int64), np.frombuffer(row["owner"], np.int32)
+                node = np.frombuffer(row["node"], np.int32).reshape(-1, classes)
+                residual = np.frombuffer(row["residual"], float).reshape(-1, classes)
+                for k in range(classes):
+                    g = residual[:, k]
+                    h = np.abs(g) * (1 - np.abs(g))
+                    live = node[:, k] >= 0
+                    mine = slice(k * width, (k + 1) * width)
+                    for kind, values in enumerate((g, h, None)):
+                        totals[slot][kind, mine] += np.bincount(node[live, k], None if values is None else values[live], width)
+                    of = node[owner, k]
+                    inside = of >= 0
+                    at, rows = (of.astype(np.int64) * codes + code, owner) if inside.all() else (of[inside].astype(np.int64) * codes + code[inside], owner[inside])
+                    for kind, values in enumerate((g, h, None)):
+                        sums[slot][kind, mine] += np.bincount(at, None if values is None else values[rows], width * codes).reshape(width, codes)
+        for slot in sums:
+            found = best_splits(sums[slot].reshape(3, places, -1, BINS + 1), totals[slot], min_leaf)
+            if found:
+                place, gain, term, *rest = (np.array(v) for v in zip(*found))
+                columns = [place, gain, np.where(term < 0, -1, term * slots + slot), *rest]
+                names = ["place", "gain", "term", "bin", "g", "h", "n", "all_g", "all_h", "all_n"]
+                kinds = {"place": pa.int32(), "bin": pa.int32(), "term": pa.int64(), "n": pa.int64(), "all_n": pa.int64()}
+                yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.float64()), safe=False) for c, v in zip(names, columns)], names=names)
 
     return run
 
@@ -250,14 +269,25 @@ def _offers(min_leaf: int):
 def _with_margins(rounds: list, classes: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = _Rows(batch.column("ids"), batch.column("bins"))
-            margins = rows.add(_margins(batch.column("margins"), classes), rounds, rate)
-            arrays = [pa.array(list(margins), pa.list_(pa.float64())) if n == "margins" else batch.column(n) for n in batch.schema.names]
+            values = [rows.add(rows.margins.copy(), rounds, rate).tobytes() for rows in (_Block(row, classes) for row in _rows_of(batch))]
+            arrays = [pa.array(values, pa.binary()) if n == "margins" else batch.column(n) for n in batch.schema.names]
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
     return run
 
 
+def _slot_keys(spark: SparkSession, slots: int) -> list[int]:
+    """Numbers that Spark deals to ``slots`` different partitions of as many."""
+    found: dict[int, int] = {}
+    first = 0
+    while len(found) < slots:
+        more = spark.range(first, first + 64 * slots).select("id", F.pmod(F.hash("id"), F.lit(slots)).alias("to"))
+        for row in more.groupBy("to").agg(F.min("id").alias("id")).collect():
+            found.setdefault(row["to"], row["id"])
+        first += 64 * slots
+    return [found[to] for to in sorted(found)]
+
+
 def bin_edges(rows: DataFrame, bins: int = BINS) -> DataFrame:
     """``term, edges``: upper ends of all bins but the last, from the weights that occur.
 
@@ -273,13 +303,13 @@ def bin_edges(rows: DataFrame, bins: int = BINS) -> DataFrame:
     return few.unionByName(many)
 
 
-def binned(rows: DataFrame, edges: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """``carry, mark, ids, bins``: weights as bin numbers from 1, ids ascending."""
+def binned(rows: DataFrame, edges: DataFrame, carry: Sequence[str] = (), name: str = "term") -> DataFrame:
+    """``carry, mark, ids, bins``: weights as bin numbers from 1, ids ascending; ``name`` is the column of ``edges`` that they are from."""
     marked = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("mark", F.xxhash64("ids", "weights", "_row")), "marked")
     entries = marked.select("_row", F.explode(F.arrays_zip("ids", "weights")).alias("e"))
     entries = entries.select("_row", F.col("e.ids").alias("term"), F.col("e.weights").alias("w"))
     number = F.size(F.filter("edges", lambda e: e < F.col("w"))) + 1
-    pairs = entries.join(edges, "term").select("_row", F.struct("term", number.alias("bin")).alias("p"))
+    pairs = entries.join(edges, "term").select("_row", F.struct(F.col(name).alias("term"), number.alias("bin")).alias("p"))
     grouped = pairs.groupBy("_row").agg(F.array_sort(F.collect_list("p")).alias("p"))
     joined = marked.select(*carry, "mark", "_row").join(grouped, "_row", "left")
     none = F.array().cast("array<struct<term:bigint,bin:int>>")
@@ -324,8 +354,8 @@ def fit_boosted(rows: DataFrame, classes: int, setting: Setting, slots: int | No
     """Trees for ``rows(label int, ids, weights)``; labels are 0 .. ``classes`` - 1.
 
     A leaf that does not split keeps its value; a class whose residuals offer no
-    gain gets a single leaf.  ``slots`` is the number of partitions that a level's
-    sums are dealt to (by default the session's shuffle partitions, fewer for few rows).
+    gain gets a single leaf.  ``slots`` is the number of partitions that terms are
+    dealt to (by default as many as the entries fill, up to ``MOST_SLOTS``).
     """
     spark = rows.sparkSession
     edges = bin_edges(rows)
@@ -333,45 +363,55 @@ def fit_boosted(rows: DataFrame, classes: int, setting: Setting, slots: int | No
         # the right side of a split holds its term: rarer terms never split
         held = rows.select(F.explode("ids").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
         edges = edges.join(held.filter(F.col("n") >= setting.min_leaf), "term", "left_semi")
-    edges = cut_lineage(edges, "edges")
-    table = binned(rows, edges, ["label"])
+    edges = cut_lineage(number_rows(edges, "term", name="place"), "edges")
+    size = edges.count()
+    table = binned(rows, edges, ["label"], "place")
     counts = dict(rows.groupBy("label").count().collect())
     shares = np.array([counts.get(k, 0) for k in range(classes)], float)
     # a class without rows starts as if it had a millionth of one
     start = np.log(np.maximum(shares, 1e-6) / max(shares.sum(), 1.0)).tolist()
-    table = cut_lineage(table.withColumn("margins", F.array(*[F.lit(s) for s in start])), "boosting")
+    table = cut_lineage(table, "boosting")
     # a level is a job of its own: few tasks while the stored rows are small
-    entries = table.agg(F.sum(F.size("ids"))).first()[0] or 0
-    parts = 1 + entries // TASK_ENTRIES
-    slots = slots or min(2 * parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table = table.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    entries, count = table.agg(F.sum(F.size("ids")), F.count("*")).first()
+    parts = 1 + max((entries or 0) // TASK_ENTRIES, count // BLOCK_ROWS)
+    slots = slots or min(parts, MOST_SLOTS)
+    keys = _slot_keys(spark, slots)
+    blocks = cut_lineage(table.repartition(parts).mapInArrow(_blocks(start), _BLOCK_SQL), "blocks")
+    cells = blocks.mapInArrow(_cells(keys), "slot long, place int, block long, code binary, owner binary")
+    cells = cells.repartition(slots, "slot").persist(StorageLevel.MEMORY_AND_DISK)
+    cells.count()
+    blocks = blocks.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
     done: list[list[Tree]] = []
     stored = 0
     try:
         for number in range(setting.rounds):
             if number - stored >= STORED_ROUNDS:
-                schema = table.schema
-                moved = table.mapInArrow(_with_margins(done[stored:number], classes, setting.learning_rate), schema)
-                moved = cut_lineage(moved, "boosting").coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
-                table.unpersist()
-                table, stored = moved, number
-            done.append(_grow(table, done[stored:], number, classes, setting, slots))
+                moved = blocks.mapInArrow(_with_margins(done[stored:number], classes, setting.learning_rate), _BLOCK_SQL)
+                moved = cut_lineage(moved, "blocks").coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+                blocks.unpersist()
+                blocks, stored = moved, number
+            done.append(_grow(blocks, cells, keys, size, done[stored:], number, classes, setting))
     finally:
-        table.unpersist()
+        blocks.unpersist()
+        cells.unpersist()
     _set_thresholds(done, edges)
     return Boosted(start, done, setting.learning_rate)
 
 
-def _grow(table: DataFrame, since: list, number: int, classes: int, setting: Setting, slots: int) -> list[Tree]:
+def _grow(blocks: DataFrame, cells: DataFrame, keys: Sequence[int], size: int, since: list, number: int, classes: int, setting: Setting) -> list[Tree]:
     """The trees of one round, one pass over the rows per level."""
     trees = [Tree.empty(setting.depth) for _ in range(classes)]
+    slots = len(keys)
 
     def newton(g: float, h: float) -> float:
         return (classes - 1) / classes * g / h if h > 1e-150 else 0.0
 
     for level in range(setting.depth):
-        sums = table.select("label", "mark", "ids", "bins", "margins").mapInArrow(_sums(since, trees, level, number, classes, setting, slots), _SUMS_SQL)
-        offers = sums.repartition(slots, "slot").mapInArrow(_offers(setting.min_leaf), _OFFER_SQL).toPandas()
+        state = blocks.mapInArrow(_state(since, trees, level, number, classes, setting), _STATE_SQL)
+        every = state.select(F.explode(F.array(*[F.lit(k).cast("bigint") for k in keys])).alias("slot"), F.col("block").alias("of"), "node", "residual")
+        # the cells stay where they are and only the state is shuffled: the slot is the only key that is compared by "="
+        met = cells.join(every.repartition(slots, "slot").hint("shuffle_hash"), "slot").filter("block <= of and block >= of")
+        offers = met.select("place", "code", "owner", "node", "residual").mapInArrow(_offers(classes, 2**level, slots, size, setting.min_leaf), _OFFER_SQL).toPandas()
         if offers.empty:
             break
         offers["gain"] = offers["gain"].round(10)
@@ -396,17 +436,18 @@ def _grow(table: DataFrame, since: list, number: int, classes: int, setting: Set
 
 
 def _set_thresholds(rounds: list[list[Tree]], edges: DataFrame) -> None:
-    """Bins of splits as weights; only the terms of splits are fetched, a bounded number."""
+    """Places and bins of splits as terms and weights; only those of splits are fetched, a bounded number."""
     used = sorted({t for trees in rounds for tree in trees for t in tree.term if t >= 0})
     if not used:
         return
-    wanted = edges.sparkSession.createDataFrame([(t,) for t in used], "term bigint")
-    ends = {r["term"]: r["edges"] for r in edges.join(F.broadcast(wanted), "term").collect()}
+    wanted = edges.sparkSession.createDataFrame([(t,) for t in used], "place bigint")
+    ends = {r["place"]: (r["term"], r["edges"]) for r in edges.join(F.broadcast(wanted), "place").collect()}
     for trees in rounds:
         for tree in trees:
-            for node, term in enumerate(tree.term):
-                if term >= 0:
-                    tree.threshold[node] = ends[term][tree.bin[node] - 1] if tree.bin[node] else 0.0
+            for node, place in enumerate(tree.term):
+                if place >= 0:
+                    tree.term[node], edge = ends[place]
+                    tree.threshold[node] = edge[tree.bin[node] - 1] if tree.bin[node] else 0.0
 
 
 def _scored(model):
