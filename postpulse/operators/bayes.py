@@ -99,22 +99,20 @@ def predict_bayes(
     """``key, carry, predicted`` for every document, also those without a known term.
 
     The score is linear in the term occurrences and dividing by a document's
-    norm does not change its best class, so no per-term counts are needed: with
-    a broadcast model each task reduces a document to one row of sums.
+    norm does not change its best class, so no per-term counts are needed: each
+    task reduces a document to one row of sums over the terms that are broadcast,
+    all of them or the most frequent; only words outside those are shuffled.
     """
     columns = [*key, *carry]
-    if model.rows <= max_broadcast:
-        words = docs.select(*columns, F.explode_outer(terms).alias("term"), F.lit(1).alias("tf"))
-    else:
-        counted = term_freq(docs, terms, key, carry)
-        empty = docs.filter(F.size(terms) <= 0)
-        words = counted.unionByName(
-            empty.select(*columns, F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("tf"))
-        )
-    table = model.weights.select("term", "idf", "w")
-    joined = lookup_join(words, table, "term", "left", model.rows, max_broadcast)
+    placed = docs.select(*columns, terms)
+    if model.rows > max_broadcast:
+        # read once for frequent and once for rare terms
+        placed = cut_lineage(placed, "to-score")
+    words = placed.select(*columns, F.explode_outer(terms).alias("term"))
+    table = cut_lineage(model.weights.select("term", "idf", "w"), "weights") if model.rows > max_broadcast else model.weights.select("term", "idf", "w")
+    joined = lookup_join(words, table, "term", "left", model.rows, max_broadcast, rarity="idf")
     sums = [
-        F.sum(F.coalesce(F.col("tf") * F.col("idf") * F.col("w")[i], F.lit(0.0))).alias(f"_s{i}")
+        F.sum(F.coalesce(F.col("idf") * F.col("w")[i], F.lit(0.0))).alias(f"_s{i}")
         for i in range(len(model.classes))
     ]
     scored = joined.groupBy(*columns).agg(*sums)

@@ -172,3 +172,16 @@ def test_confusion_keeps_unlisted_actual_labels(spark):
     df = spark.createDataFrame([("a", "other", "neutral"), ("b", None, "neutral")], "ID string, actual string, predicted string")
     rows = {r["actual"]: r["neutral"] for r in confusion(df).collect()}
     assert rows == {"negative": 0, "neutral": 0, "positive": 0, "other": 1}
+
+
+def test_frequent_keys_are_broadcast_beside_rare_ones(spark):
+    from postpulse.operators.lookup import lookup_join
+
+    table = spark.createDataFrame([(f"t{i}", float(i // 3)) for i in range(30)], "term string, idf double")
+    facts = spark.createDataFrame([(i, f"t{i % 40}") for i in range(200)] + [(200, None)], "i int, term string")
+    for how in ("inner", "left"):
+        split = lookup_join(facts, table, "term", how, 30, 10, rarity="idf")
+        whole = lookup_join(facts, table, "term", how, 30, 10)
+        assert sorted(map(str, split.collect())) == sorted(map(str, whole.select(split.columns).collect()))
+        plan = split._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
