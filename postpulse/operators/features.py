@@ -70,7 +70,7 @@ def weigh_terms(
 
     ``vocabulary`` holds ``term, idf``; the norm is taken over known terms only.
     """
-    raw = lookup_join(tf, vocabulary.select("term", "idf"), "term", "inner", vocabulary_rows)
+    raw = lookup_join(tf, vocabulary.select("term", "idf"), "term", "inner", vocabulary_rows, rarity="idf")
     raw = raw.withColumn("_w", F.col("tf") * F.col("idf")).drop("idf")
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(*key)))
     return raw.withColumn("weight", F.col("_w") / norm).drop("_w")
