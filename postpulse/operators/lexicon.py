@@ -12,6 +12,7 @@ from postpulse.session import cut_lineage
 
 DEFAULT_TAG = "NN"  # a token nobody tagged is taken for a noun
 MAX_LOCAL_BYTES, ENTRY_BYTES = 16 << 20, 32  # a lexicon that travels with the tasks; what an entry takes beside its text
+ROWS_AT_ONCE = 1000  # rows whose tokens are looked up at once; bounds a task's memory
 
 
 def join_lexicon(tags: DataFrame, lemmas: DataFrame) -> DataFrame:
@@ -51,23 +52,31 @@ def _local_lookup(table: pa.Table):
 
     @F.arrow_udf("array<string>")
     def swap(lists: pa.Array) -> pa.Array:
-        words = lists.flatten().cast(pa.string())
-        swapped = pc.coalesce(values.take(pc.index_in(words, value_set=keys)), words)
-        lengths = pc.fill_null(pc.list_value_length(lists), 0)
-        ends = pc.cumulative_sum(lengths).cast(pa.int32())
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-        return pa.ListArray.from_arrays(offsets, swapped, mask=pc.is_null(lists))
+        parts = [_swapped(lists.slice(start, ROWS_AT_ONCE), keys, values) for start in range(0, len(lists), ROWS_AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
     return swap
 
 
+def _swapped(lists: pa.Array, keys: pa.Array, values: pa.Array) -> pa.Array:
+    words = lists.flatten().cast(pa.string())
+    swapped = pc.coalesce(values.take(pc.index_in(words, value_set=keys)), words)
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0)).cast(pa.int32())
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+    return pa.ListArray.from_arrays(offsets, swapped, mask=pc.is_null(lists))
+
+
 def _swap_own(lists: pa.Array, found: pa.Array) -> pa.Array:
-    """Each row's tokens by the row's own (token, lemma) pairs."""
-    swapped = []
-    for words, pairs in zip(lists.to_pylist(), found.to_pylist(), strict=True):
-        lemma = {p["token"]: p["lemma"] for p in pairs or ()}
-        swapped.append(words and [lemma.get(word, word) for word in words])
-    return pa.array(swapped, pa.list_(pa.string()))
+    """Tokens by the (token, lemma) pairs found for their rows, some rows at a time.
+
+    A token has one lemma, and a row has it among its pairs if any row does.
+    """
+    parts = []
+    for start in range(0, len(lists), ROWS_AT_ONCE):
+        pairs = found.slice(start, ROWS_AT_ONCE).flatten()
+        keys, values = (part.cast(pa.string()) for part in pairs.flatten())
+        parts.append(_swapped(lists.slice(start, ROWS_AT_ONCE), keys, values))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
 
 def lemmatise_by_join(docs: DataFrame, lemmas: DataFrame, tokens: str = "tokens") -> DataFrame:

@@ -165,3 +165,28 @@ def test_lemmas_do_not_depend_on_the_lexicon_size(frame):
     local, joined = (sorted(values(lemmatise(docs, lexicon, max_local=size)), key=str) for size in (1 << 20, 0))
     assert local == joined and len(local) == 6
     assert ("a", "1", ["cat", "ran", None, "cat"]) in local and ("a", "1", ["dog"]) in local and ("a", "3", None) in local
+
+
+def test_lemmas_are_swapped_by_slices_of_rows(monkeypatch):
+    import pyarrow as pa
+
+    from postpulse.operators import lexicon
+
+    monkeypatch.setattr(lexicon, "ROWS_AT_ONCE", 2)
+    kind = pa.list_(pa.struct([("token", pa.string()), ("lemma", pa.string())]))
+    lists = pa.array([["as", "b"], None, [], ["cs", None, "as"], ["x"]], pa.list_(pa.string()))
+    found = pa.array([[{"token": "as", "lemma": "a"}], None, None, [{"token": "cs", "lemma": "c"}, {"token": "as", "lemma": "a"}], []], kind)
+    assert lexicon._swap_own(lists, found).to_pylist() == [["a", "b"], None, [], ["c", None, "a"], ["x"]]
+    assert lexicon._swap_own(lists[1:], found[1:]).to_pylist() == [None, [], ["c", None, "a"], ["x"]]
+    assert lexicon._swap_own(lists[:0], found[:0]).to_pylist() == []
+
+
+def test_only_labelled_texts_are_tokenised(spark, tmp_path):
+    from postpulse.plans.views import Tables
+
+    spark.createDataFrame([(1, "good words", "s"), (2, "more words", "s")], "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(2, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = Tables(spark, str(tmp_path)).labelled_docs()
+    assert [(r["ID"], r["sentiment"], r["tokens"]) for r in found.collect()] == [("2", "neutral", ["words", "words"])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("split(") < plan.index("Join")
