@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
@@ -15,6 +16,7 @@ from postpulse.functions.posts import combined_text
 from postpulse.session import scratch_path
 from postpulse.sources.folders import exists, folders
 
+PROMPTS_AT_ONCE = 500
 Scorer = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 
 
@@ -38,6 +40,29 @@ def keyword_scorer(
     return answer
 
 
+def _in_slices(scorer: Scorer) -> Scorer:
+    """``scorer`` with at most ``PROMPTS_AT_ONCE`` prompts in a batch, which bounds what it copies."""
+
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        counts: deque[int] = deque()
+
+        def slices() -> Iterator[pd.Series]:
+            for prompts in batches:
+                counts.append(max(1, -(-len(prompts) // PROMPTS_AT_ONCE)))
+                for i in range(counts[-1]):
+                    yield prompts.iloc[i * PROMPTS_AT_ONCE : (i + 1) * PROMPTS_AT_ONCE]
+
+        held: list[pd.Series] = []
+        for answers in scorer(slices()):
+            held.append(answers)
+            if len(held) == counts[0]:
+                counts.popleft()
+                yield pd.concat(held, ignore_index=True)
+                held = []
+
+    return answer
+
+
 def label_posts(
     posts: DataFrame,
     scorer: Scorer,
@@ -50,7 +75,7 @@ def label_posts(
     input splits over more tasks.
     """
     # an answer may vary, so the optimiser must not ask again in filters or planning
-    ask = F.pandas_udf(scorer, T.StringType()).asNondeterministic()
+    ask = F.pandas_udf(_in_slices(scorer), T.StringType()).asNondeterministic()
     if partitions:
         posts = posts.repartition(partitions)
     text = combined_text(null_as_nan_text=null_as_nan_text)

@@ -37,7 +37,7 @@ class BestSighting(StatefulProcessor):
         self.best = handle.getValueState("best", SIGHTING_SCHEMA)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        known = self.best.get() if self.best.exists() else None
+        known = self.best.get()  # None if there is none: one call to the state store, not two
         before = None if known is None else _place(dict(zip(SIGHTING_SCHEMA.fieldNames(), known, strict=True)))
         best, place = None, before
         for row in rows:

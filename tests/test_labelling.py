@@ -61,3 +61,21 @@ def test_labelled_files_come_back_with_nulls(spark, frame, tmp_path):
     got = sorted(values(back.selectExpr("ID", "title", "content", "cast(date as string)", "sentiment")))
     assert got == [("1", 'a "b"', "x\r\ny", "2020-01-01 10:00:00", "positive"), ("2", None, None, "2020-01-02 00:00:00", "neither"), ("3", None, None, None, "neutral")]
     assert parse_dates(back).count() == 3
+
+
+def test_a_scorer_sees_few_prompts_at_once(monkeypatch):
+    import pandas as pd
+
+    from postpulse.operators import labelling
+
+    monkeypatch.setattr(labelling, "PROMPTS_AT_ONCE", 3)
+    seen = []
+
+    def scorer(batches):
+        for prompts in batches:
+            seen.append(len(prompts))
+            yield prompts + "!"
+
+    batches = [pd.Series(list("abcdefg")), pd.Series([], dtype=object), pd.Series(list("hi"))]
+    got = [list(s) for s in labelling._in_slices(scorer)(iter(batches))]
+    assert got == [[c + "!" for c in "abcdefg"], [], ["h!", "i!"]] and max(seen) == 3
