@@ -34,6 +34,7 @@ BINS = 16
 TASK_ENTRIES = 300_000  # entries of sparse rows that one task works on
 BLOCK_ROWS = 4096  # rows whose state travels together
 MOST_SLOTS = 24  # partitions of terms; each is sent the state of all rows once a level
+HELD_ENTRIES = 500_000  # entries of a slot that are put off before they are added to its sums
 STORED_ROUNDS = 20  # rounds after which margins are written down
 LEAST_GAIN = 1e-12
 _MIX = 0x9E3779B97F4A7C15
@@ -234,11 +235,24 @@ def _offers(classes: int, width: int, slots: int, size: int, min_leaf: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         totals: dict[int, np.ndarray] = {}
+        entries: dict[int, list] = {}
+        waiting: dict[int, int] = {}
+
+        def add_up(slot: int) -> None:
+            # many cells at once: a pass over all sums of a slot costs more than a cell
+            if entries[slot]:
+                at, g, h = (np.concatenate(v) for v in zip(*entries[slot]))
+                for kind, values in enumerate((g, h, None)):
+                    sums[slot][kind] += np.bincount(at, values, places * codes)
+            entries[slot].clear()
+            waiting[slot] = 0
+
         for batch in batches:
             for row in _rows_of(batch):
                 slot = row["place"]
                 if slot not in sums:
-                    sums[slot], totals[slot] = np.zeros((3, places, codes)), np.zeros((3, places))
+                    sums[slot], totals[slot], entries[slot] = np.zeros((3, places * codes)), np.zeros((3, places)), []
+                held = entries[slot]
                 code, owner = np.frombuffer(row["code"], np.int64), np.frombuffer(row["owner"], np.int32)
                 node = np.frombuffer(row["node"], np.int32).reshape(-1, classes)
                 residual = np.frombuffer(row["residual"], float).reshape(-1, classes)
@@ -250,10 +264,14 @@ def _offers(classes: int, width: int, slots: int, size: int, min_leaf: int):
                     for kind, values in enumerate((g, h, None)):
                         totals[slot][kind, mine] += np.bincount(node[live, k], None if values is None else values[live], width)
                     of = node[owner, k]
-                    inside = of >= 0
-                    at, rows = (of.astype(np.int64) * codes + code, owner) if inside.all() else (of[inside].astype(np.int64) * codes + code[inside], owner[inside])
-                    for kind, values in enumerate((g, h, None)):
-                        sums[slot][kind, mine] += np.bincount(at, None if values is None else values[rows], width * codes).reshape(width, codes)
+                    inside = slice(None) if (of >= 0).all() else of >= 0
+                    rows = owner[inside]
+                    held.append(((k * width + of[inside].astype(np.int64)) * codes + code[inside], g[rows], h[rows]))
+                waiting[slot] = waiting.get(slot, 0) + len(code)
+                if waiting[slot] > HELD_ENTRIES:
+                    add_up(slot)
+        for slot in sums:
+            add_up(slot)
         for slot in sums:
             found = best_splits(sums[slot].reshape(3, places, -1, BINS + 1), totals[slot], min_leaf)
             if found:
