@@ -92,8 +92,10 @@ def scale_gamma(rows: DataFrame, size: int) -> float:
 
 def fit_map(rows: DataFrame, size: int, landmarks: int = LANDMARKS, gamma: float | None = None, seed: int = 0) -> KernelMap:
     """Landmarks drawn from the distinct rows of ``rows(ids, weights)`` by the order of their hash."""
-    place = F.xxhash64(F.lit(seed), "ids", "weights")
-    drawn = rows.select("ids", "weights", place.alias("_h")).dropDuplicates(["_h"]).orderBy("_h").limit(landmarks).collect()
+    placed = rows.select("ids", "weights", F.xxhash64(F.lit(seed), "ids", "weights").alias("_h"))
+    # hashes first: only the landmarks' own rows are shuffled
+    lowest = placed.select("_h").distinct().orderBy("_h").limit(landmarks)
+    drawn = placed.join(F.broadcast(lowest), "_h", "left_semi").dropDuplicates(["_h"]).orderBy("_h").collect()
     gamma = scale_gamma(rows, size) if gamma is None else gamma
     return KernelMap([np.array(r["ids"], np.int64) for r in drawn], [np.array(r["weights"], float) for r in drawn], gamma)
 
