@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from postpulse.operators.lookup import lookup_join
+from postpulse.operators.lookup import MAX_BROADCAST_TERMS, lookup_join
 from postpulse.session import cut_lineage
 
 KEY = ("subreddit", "ID")
@@ -65,12 +65,14 @@ def weigh_terms(
     vocabulary: DataFrame,
     key: Sequence[str] = KEY,
     vocabulary_rows: int | None = None,
+    max_broadcast: int = MAX_BROADCAST_TERMS,
 ) -> DataFrame:
     """L2-normalised ``weight`` for each (document, term) of the vocabulary.
 
-    ``vocabulary`` holds ``term, idf``; the norm is taken over known terms only.
+    ``vocabulary`` holds ``term, idf``; the norm is taken over known terms only.  Rows
+    of :func:`term_freq` lie by key: entries of broadcast terms are not shuffled for it.
     """
-    raw = lookup_join(tf, vocabulary.select("term", "idf"), "term", "inner", vocabulary_rows, rarity="idf")
+    raw = lookup_join(tf, vocabulary.select("term", "idf"), "term", "inner", vocabulary_rows, max_broadcast, rarity="idf", far_by=key)
     raw = raw.withColumn("_w", F.col("tf") * F.col("idf")).drop("idf")
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(*key)))
     return raw.withColumn("weight", F.col("_w") / norm).drop("_w")

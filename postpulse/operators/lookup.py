@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ def lookup_join(
     table_rows: int | None = None,
     max_broadcast: int = MAX_BROADCAST_TERMS,
     rarity: str | None = None,
+    far_by: Sequence[str] = (),
 ) -> DataFrame:
     """Join ``facts`` with ``table`` on one key.
 
@@ -26,6 +29,8 @@ def lookup_join(
     broadcast, so only facts with other keys are shuffled; ``facts`` is read
     twice.  Without it both sides are shuffled, and adaptive execution splits the
     partitions of frequent keys (the table's single row is then read by each split).
+    Facts already partitioned by ``far_by`` stay so: only those shuffled for the
+    join are partitioned by it again.
     """
     if table_rows is not None and table_rows <= max_broadcast:
         return facts.join(F.broadcast(table), on, how)
@@ -38,4 +43,6 @@ def lookup_join(
     common, rest = table.filter(frequent), table.filter(~frequent)
     near = facts.join(F.broadcast(common), on)
     far = facts.join(F.broadcast(common.select(on)), on, "left_anti").join(rest.hint("merge"), on, how)
+    if far_by:
+        far = far.repartition(*far_by)
     return near.unionByName(far)
