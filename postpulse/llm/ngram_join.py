@@ -16,7 +16,8 @@ linked to one hub each, verified exactly, and merged; then only pairs of nodes
 of different components are generated, so a group of thousands of near copies
 is not expanded into all its pairs.  Pairs whose parity sketches differ in more
 bits than linked sets could are left out; the bound is exact.  Every pair of nodes that could link is
-either verified or already connected.
+either verified or already connected.  Whole sets are made again only for nodes of pairs that are
+left: their texts are told by a bitmap of fixed size and then looked up by id.
 
 N-grams are compared as 64-bit hashes and sets as 128-bit digests of them.
 """
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,6 +45,8 @@ DICTIONARY = 1 << 18
 GATHERED = 1 << 21
 # Words of 64 bits in the parity sketch of a set.
 SKETCH = 8
+# Bits of the bitmap of wanted ids (2 MB in every task); an id whose bit is set is looked up.
+SIEVE = 1 << 24
 # Assumed posting list length of an n-gram outside the dictionary.
 UNLISTED = 1.2
 # Prefix extensions that a document chooses from.
@@ -83,11 +86,13 @@ def digest(grams: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
 
 
-_SUMMARY = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("gram", pa.int64()), ("times", pa.int64())])
+_SUMMARY = pa.schema(
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sketch", pa.list_(pa.int64())), ("gram", pa.int64()), ("times", pa.int64())]
+)
 
 
 def _summaries(words: int):
-    """Per document its set's size and digest; besides, n-grams that repeat inside the task."""
+    """Per document its set's size, digest and sketch; besides, n-grams that repeat inside the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -100,7 +105,8 @@ def _summaries(words: int):
             rows = int(more.sum())
             none = pa.nulls(rows, pa.int64())
             return pa.RecordBatch.from_arrays(
-                [none, none, pa.nulls(rows, pa.binary()), pa.array(grams[more].view(np.int64)), pa.array(times[more])], schema=_SUMMARY
+                [none, none, pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.list_(pa.int64())), pa.array(grams[more].view(np.int64)), pa.array(times[more])],
+                schema=_SUMMARY,
             )
 
         for batch in slices(batches):
@@ -112,8 +118,9 @@ def _summaries(words: int):
                     kept.append(grams)
                     held += len(grams)
             none = pa.nulls(len(sets), pa.int64())
+            sketches = pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), none, none], schema=_SUMMARY
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), sketches, none, none], schema=_SUMMARY
             )
             if held >= GATHERED:
                 yield repeated()
@@ -199,15 +206,41 @@ def _sets(words: int):
         for batch in slices(batches):
             sets = gram_sets(batch.column("text").to_pylist(), words)
             rows = [(w, s.view(np.int64)) for w, s in zip(batch.column("wanted").to_pylist(), sets, strict=True) if digest(s) == w]
-            sketches = [sketch(s.view(np.uint64)) for _, s in rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["node", "grams", "sketch"],
+                [pa.array([w for w, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], names=["node", "grams"]
             )
 
     return run
 
 
+def _bit(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SIEVE))
+
+
+def _sieved(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in the only column of ``wanted``; null is a key like others."""
+    bit = wanted.select(_bit(wanted.columns[0]).alias("bit"))
+    masks = bit.groupBy(F.expr("bit div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")).toArrow()
+    bitmap = np.zeros(SIEVE // 64, np.int64)
+    bitmap[masks.column("at").to_numpy()] = masks.column("mask").to_numpy()
+
+    @F.arrow_udf("boolean")
+    def marked(bits: pa.Array) -> pa.Array:
+        at = bits.to_numpy()
+        return pa.array((bitmap[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return rows.filter(marked(_bit(key)))
+
+
+def _sets_of(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(node, grams) for the nodes of ``pairs``."""
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    wanted = stored(ends.join(nodes.hint("merge"), "node").select(F.col("node").alias("wanted"), F.col("doc_id").alias("wanted_id")), "wanted")
+    some = _sieved(texts, "doc_id", wanted.select("wanted_id"))
+    by_id = some.join(wanted.hint("merge"), F.expr("doc_id <=> wanted_id")).select("wanted", "text")
+    return stored(by_id.mapInArrow(_sets(words), "node binary, grams array<long>"), "gram-sets")
+
+
 def _links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -222,10 +255,13 @@ def _links(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs that link."""
+    pairs = stored(pairs, "pairs")
+    sets = _sets_of(pairs, nodes, texts, rule.words)
     left = sets.select(F.col("node").alias("u"), F.col("grams").alias("grams_u"))
     right = sets.select(F.col("node").alias("v"), F.col("grams").alias("grams_v"))
-    return pairs.join(right.hint("merge"), "v").join(left.hint("merge"), "u").mapInArrow(_links(percent), "u binary, v binary")
+    return pairs.join(right.hint("merge"), "v").join(left.hint("merge"), "u").mapInArrow(_links(rule.percent), "u binary, v binary")
 
 
 def _dictionary(summary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -248,13 +284,18 @@ def _lists(texts: DataFrame, rule: Rule, grams: np.ndarray, times: np.ndarray) -
     An n-gram of a prefix that no other prefix has is dead.  Before an n-gram that
     two prefixes share, a dead one cannot be in the other set (it would be in its
     prefix), so ``most`` = n minus the dead n-grams before bounds the overlap of
-    any pair that meets here.  Postings go whose bound is too low for every
+    any pair that meets here.  So is an n-gram that only two prefixes have, of sets
+    whose sizes are too far apart to link.  Postings go whose bound is too low for every
     partner in their list, and nodes with fewer postings than any partner asks for.
     """
     postings = texts.select("text").mapInArrow(_postings(rule, grams, times), "gram long, node binary, n int, at int, reach int")
     postings = stored(postings, "postings")
-    key = F.xxhash64("node")
-    shared = postings.groupBy("gram").agg(F.min(key).alias("a"), F.max(key).alias("b")).filter("a <> b").select("gram")
+    # a node's key begins with its class of size: sets that link are of the same or neighbouring classes
+    width = max(math.log(100 / rule.percent), 1e-3) * (1 + 1e-9)
+    key = F.floor(F.log("n") / F.lit(width)) * F.lit(1 << 48) + F.shiftrightunsigned(F.xxhash64("node"), 16)
+    ends = postings.groupBy("gram").agg(F.min(key).alias("a"), F.max(key).alias("b"), F.count("*").alias("times"))
+    apart = F.expr(f"times = 2 and b div {1 << 48} - a div {1 << 48} > 1")
+    shared = ends.filter(F.expr("a <> b") & ~apart).select("gram")
     # copies of a set have equal rows, so the group's only row is any of them
     alive = (
         postings.join(shared.hint("merge"), "gram")
@@ -287,16 +328,11 @@ def link(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
     """
     rule = rule or Rule()
     texts = text_bytes(documents, ("doc_id", "long"))
-    summary = stored(texts.mapInArrow(_summaries(rule.words), "doc_id long, n long, node binary, gram long, times long"), "sets")
-    rows = summary.filter("gram is null").select("doc_id", "n", "node")
+    summary = stored(texts.mapInArrow(_summaries(rule.words), "doc_id long, n long, node binary, sketch array<long>, gram long, times long"), "sets")
+    rows = summary.filter("gram is null").select("doc_id", "n", "node", "sketch")
     lists = _lists(texts, rule, *_dictionary(summary))
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
-    # sets of the nodes that may be compared
-    compared = lists.select("node").distinct().join(nodes.hint("merge"), "node").select(F.col("node").alias("wanted"), F.col("doc_id").alias("wanted_id"))
-    by_id = texts.join(compared.hint("merge"), F.expr("doc_id <=> wanted_id")).select("wanted", "text")
-    sets = stored(by_id.mapInArrow(_sets(rule.words), "node binary, grams array<long>, sketch array<long>"), "gram-sets")
-
     # one hub per list: the set that could overlap most with others
     hubs = lists.groupBy("gram").agg(F.max(F.struct("most", "node", "n", "reach")).alias("hub"))
     spokes = (
@@ -305,7 +341,7 @@ def link(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
         .filter(_possible(rule, "n", "hub.n", "least(most, hub.most)"))
         .select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v"), F.expr("least(reach, hub.reach)").alias("asked"))
     )
-    first = stored(_verified(_pairs(spokes), sets, rule.percent), "links")
+    first = stored(_verified(_pairs(spokes), nodes, texts, rule), "links")
     joined = components(first)
 
     # then pairs of different components
@@ -314,8 +350,11 @@ def link(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
     placed = stored(placed.withColumn("level", level), "placed")
     open_lists = placed.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("n").alias("least_n")).filter("a <> b")
     placed = placed.join(open_lists.select("gram", "least_n").hint("merge"), "gram").filter(_possible(rule, "n", "least_n", "most"))
-    # copies of a row with one id and text give equal sketches
-    placed = placed.join(sets.groupBy("node").agg(F.first("sketch").alias("sketch")).hint("merge"), "node")
+    # one row per node for its sketch; copies of a set give equal sketches
+    of_node = [F.first(c).alias(c) for c in ("n", "reach", "root")]
+    held = placed.groupBy("node").agg(*of_node, F.collect_list(F.struct("gram", "level", "most")).alias("lists"))
+    sketches = rows.filter("node is not null").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    placed = held.join(sketches.hint("merge"), "node").select("node", "n", "reach", "root", "sketch", F.inline("lists"))
     x, y = (placed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("gram", "node", "n", "reach", "root", "level", "most", "sketch")]) for s in "uv")
     apart = " + ".join(f"bit_count(sketch_u[{i}] ^ sketch_v[{i}])" for i in range(SKETCH))
     matches = x.hint("merge").join(
@@ -327,7 +366,7 @@ def link(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
         & F.expr(f"({apart}) * {100 + rule.percent} <= {100 - rule.percent} * (n_u + n_v)"),
     )
     matches = matches.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), F.expr("least(reach_u, reach_v)").alias("asked"))
-    second = _verified(_pairs(matches), sets, rule.percent)
+    second = _verified(_pairs(matches), nodes, texts, rule)
     links = stored(first.union(second), "all-links")
 
     named = components(links).join(nodes.hint("merge"), "node")

@@ -85,6 +85,26 @@ def test_ngram_join_links_chains_and_rejects_a_dense_group(spark):
     assert sorted([tuple(r) for r in found], key=str) == groups(out, 3, 90)
 
 
+def test_ngram_join_makes_whole_sets_only_for_nodes_of_candidate_pairs(spark, monkeypatch):
+    """Texts and their first halves share many n-grams, but their sizes are too far apart to link."""
+    out, kept, stored = [], [], ngram_join.stored
+    for i in range(20):
+        base = [f"w{i}-{k}" for k in range(100)]
+        out += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:50]))]
+    out.append((100, " ".join([*base[:-1], "other"])))
+
+    def counted(df, name):
+        table = stored(df, name)
+        if name == "gram-sets":
+            kept.append(table.count())
+        return table
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    found = ngram_join.link(spark.createDataFrame(out, "doc_id long, text string"), ngram_join.Rule(3, 90)).collect()
+    assert sorted([tuple(r) for r in found], key=str) == groups(out, 3, 90)
+    assert sum(kept) == 2
+
+
 def test_ngram_join_of_nothing(none):
     assert ngram_join.link(none).collect() == []
 
