@@ -3,40 +3,45 @@
 Every round grows one regression tree per class, all fitted to the same softmax
 probabilities: the residual ``y - p`` of a class is its tree's target, splits
 maximise the weighted squared difference of the sides' means, and a leaf takes a
-Newton step.  The trees of a round grow level by level together.  Rows are stored
-twice: in blocks, and dealt by term into cells, one per block and slot of terms.
-A level is one pass over the blocks that tells each row's node and residuals and
-one shuffle of this state to the cells, which stay where they are; each slot adds
-up its terms' sums and offers its best split per node.  What reaches the driver
-is that offer, and the model.
+Newton step.  The trees of a round grow level by level together.  Rows are put
+into blocks, their entries dealt by term to slots; a slot keeps its entries for
+many rounds, sorted by term and bin, and the node and margins of every row.  A
+level adds up the residuals of a slot's terms, then the slots tell each other
+their best splits (barrier tasks), and the slot that holds the term of a split
+tells which rows go right, a bit per row.  What reaches the driver is the model.
 
 Weights are replaced by bin numbers (0: term absent) before the first round.
-Margins are recomputed from the trees grown since they were last stored with the
-rows, so a lost task repeats its own rows only.
+Margins are written down every ``STORED_ROUNDS`` rounds, so a lost task repeats
+these rounds only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import base64
+import json
+import tempfile
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import BarrierTaskContext, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from postpulse.operators.numbering import number_rows
 from postpulse.session import cut_lineage
 
 BINS = 16
-TASK_ENTRIES = 300_000  # entries of sparse rows that one task works on
-BLOCK_ROWS = 4096  # rows whose state travels together
-MOST_SLOTS = 24  # partitions of terms; each is sent the state of all rows once a level
-HELD_ENTRIES = 500_000  # entries of a slot that are put off before they are added to its sums
-STORED_ROUNDS = 20  # rounds after which margins are written down
-LEAST_GAIN = 1e-12
+TASK_ENTRIES = 300_000  # entries of sparse rows that one task puts into blocks
+SLOT_ENTRIES = 8_000_000  # entries of a slot: half a second a level, as waiting for the other slots takes a second
+BLOCK_ROWS = 4096  # rows whose entries travel together
+MOST_SLOTS = 24  # partitions of terms; each keeps the margins of all rows
+HELD_ENTRIES = 100_000  # entries of a slot that are added up at once
+HELD_BYTES = 256 << 20  # entries of a slot beyond this lie in a temporary file of the task
+STORED_ROUNDS = 40  # rounds after which margins are written down
+GAIN_DIGITS = 10  # gains that differ by rounding only count as equal
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -121,28 +126,19 @@ def sampled(marks: np.ndarray, number: int, setting: Setting) -> np.ndarray:
     return x.astype(float) / 2.0**53 < setting.subsample
 
 
-class _Block(_Rows):
-    """A block of training rows as stored: its entries sorted by term, its labels, marks and margins."""
-
-    def __init__(self, row: dict, classes: int):
-        self.label, self.mark = np.frombuffer(row["label"], np.int32), np.frombuffer(row["mark"], np.int64)
-        self.margins = np.frombuffer(row["margins"], float).reshape(-1, classes)
-        self.term, self.cell, self.owner = (np.frombuffer(row[c], np.int32) for c in ("term", "cell", "owner"))
-        self.count = len(self.label)
-
-
+_PIECE_SQL = "block long, label binary, mark binary, margins binary, code binary, owner binary"
 _BLOCK_SQL = "block long, label binary, mark binary, margins binary, term binary, cell binary, owner binary"
-_STATE_SQL = "block long, node binary, residual binary"
+_GROWN_SQL = "block long, label binary, mark binary, margins binary, trees binary"
 
 
-def _blocks(start: Sequence[float]):
-    """Rows put together to blocks of at most ``BLOCK_ROWS``."""
+def _blocks(start: Sequence[float], block_rows: int):
+    """Rows put together to blocks of at most ``block_rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for first in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(first, BLOCK_ROWS)
+            for first in range(0, batch.num_rows, block_rows):
+                part = batch.slice(first, block_rows)
                 rows = _Rows(part.column("ids"), part.column("bins"))
                 kinds = (part.column("label").to_numpy(), np.int32), (part.column("mark").to_numpy(), np.int64), (np.tile(np.array(start), (rows.count, 1)), float)
                 entries = ((v, np.int32) for v in (rows.term, rows.cell, rows.owner))
@@ -158,140 +154,226 @@ def _rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
-def _cells(slots: Sequence[int]):
-    """Every block's entries dealt by term: one row per block and slot, also where a block has no such term."""
+def _cells(slots: int):
+    """Every block's entries dealt by term, in the order of term, bin and row: one row per block and slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in _rows_of(batch.select(["block", "term", "cell", "owner"])):
+            for row in _rows_of(batch):
                 term, cell, owner = (np.frombuffer(row[c], np.int32) for c in ("term", "cell", "owner"))
-                code = (term // len(slots)).astype(np.int64) * (BINS + 1) + cell
-                for place, slot in enumerate(slots):
-                    mine = term % len(slots) == place
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([slot], pa.int64()),
-                            pa.array([place], pa.int32()),
-                            pa.array([row["block"]], pa.int64()),
-                            pa.array([code[mine].tobytes()], pa.binary()),
-                            pa.array([owner[mine].tobytes()], pa.binary()),
-                        ],
-                        names=["slot", "place", "block", "code", "owner"],
-                    )
+                order = np.lexsort((owner, cell, term))
+                term, cell, owner = term[order], cell[order], owner[order]
+                code = term // slots * BINS + cell - 1
+                for slot in range(slots):
+                    mine = term % slots == slot
+                    values = [pa.array([v], kind) for v, kind in ((slot, pa.int32()), (row["block"], pa.int64()), (code[mine].tobytes(), pa.binary()), (owner[mine].tobytes(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays(values, names=["slot", "block", "code", "owner"])
 
     return run
 
 
-def _state(rounds: list, growing: list[Tree], level: int, number: int, classes: int, setting: Setting):
-    """Per block the node of every row in the trees that grow (-1: in none of this level) and its residuals."""
+def _room(size: int, kind: type) -> np.ndarray:
+    """An array in memory, a large one in a file that goes with the task."""
+    if size * np.dtype(kind).itemsize <= HELD_BYTES:
+        return np.empty(size, kind)
+    return np.memmap(tempfile.TemporaryFile(), kind, "w+", shape=(size,))
+
+
+class _Slot:
+    """The entries of a slot's terms, sorted by term, bin and row, and the rows of all blocks in one order."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], terms: int, classes: int):
+        self.count = np.zeros(terms * BINS, np.int64)  # entries per term and bin
+        blocks, found = {}, []
+        with tempfile.SpooledTemporaryFile(HELD_BYTES) as kept:
+            for batch in batches:
+                for row in _rows_of(batch):
+                    if row["label"] is not None:
+                        blocks[row["block"]] = row
+                        continue
+                    codes, counts = np.unique(np.frombuffer(row["code"], np.int32), return_counts=True)
+                    self.count[codes] += counts
+                    found.append((row["block"], codes, counts, kept.tell(), len(row["owner"])))
+                    kept.write(row["owner"])
+            self.names = sorted(blocks)
+            self.labels = [blocks[b]["label"] for b in self.names]
+            self.marks = [blocks[b]["mark"] for b in self.names]
+            self.sizes = [len(v) // 4 for v in self.labels]
+            first = dict(zip(self.names, np.cumsum([0, *self.sizes])))
+            self.rows = sum(self.sizes)
+            self.ends = np.cumsum(self.count)
+            place = self.ends - self.count
+            self.owner = _room(int(self.count.sum()), np.int32)
+            for block, codes, counts, at, length in sorted(found, key=lambda f: f[0]):
+                kept.seek(at)
+                within = np.arange(length // 4) - np.repeat(np.cumsum(counts) - counts, counts)
+                self.owner[np.repeat(place[codes], counts) + within] = np.frombuffer(kept.read(length), np.int32) + np.int32(first[block])
+                place[codes] += counts
+        self.label = np.frombuffer(b"".join(self.labels), np.int32)
+        self.mark = np.frombuffer(b"".join(self.marks), np.int64)
+        self.margins = np.concatenate([np.empty((0, classes)), *[np.frombuffer(blocks[b]["margins"], float).reshape(-1, classes) for b in self.names]])
+
+    def parts(self, most: int) -> Iterator[tuple[int, int]]:
+        """Runs of terms with about ``most`` entries (a more frequent term is alone)."""
+        ends = self.ends[BINS - 1 :: BINS]
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield start, stop
+            start = stop
+
+    def above(self, term: int, cell: int) -> np.ndarray:
+        """Rows that hold ``term`` in a bin above ``cell``."""
+        last = self.ends[term * BINS + BINS - 1]
+        code = term * BINS + cell
+        return self.owner[self.ends[code] - self.count[code] : last]
+
+
+def _offer(n: np.ndarray, g: np.ndarray, all_n: int, all_g: float, min_leaf: int) -> tuple[float, int, int] | None:
+    """Gain, term and bin of the best split of a node; ``n`` and ``g`` are counts and residuals by (bin, term).
+
+    Equal gains go to the lower term, then to the lower bin.  Right of a split at
+    bin b is everything above b.
+    """
+    held = n > 0
+    for cell in range(BINS - 1, 0, -1):  # everything at or above a bin
+        n[cell - 1] += n[cell]
+        g[cell - 1] += g[cell]
+    at = np.flatnonzero(held & (n >= min_leaf) & (n <= all_n - max(min_leaf, 1)))
+    if not len(at):
+        return None
+    right, sums = n.ravel()[at], g.ravel()[at]
+    left = all_n - right
+    gain = np.round(right * left / all_n * (sums / right - (all_g - sums) / left) ** 2, GAIN_DIGITS)
+    best = gain.max()
+    if best <= 0:
+        return None
+    cell, term = np.divmod(at[gain == best], n.shape[1])
+    first = np.lexsort((cell, term))[0]
+    return float(best), int(term[first]), int(cell[first])
+
+
+def _offers(slot: _Slot, plane: np.ndarray, residual: np.ndarray, width: int, totals: np.ndarray, min_leaf: int, whole: bool, most: int) -> dict[int, tuple[float, int, int]]:
+    """Per place with rows the best split among the slot's terms; ``whole``: all rows are in the root."""
+    best: dict[int, tuple[float, int, int]] = {}
+    classes = len(residual)
+    for start, stop in slot.parts(most):
+        codes = slice(start * BINS, stop * BINS)
+        count, terms = slot.count[codes], stop - start
+        owner = np.asarray(slot.owner[(slot.ends[codes.start] - count[0]) : slot.ends[codes.stop - 1]])
+        size = BINS * terms
+        at = np.repeat((np.arange(terms)[:, None] + np.arange(BINS) * terms).ravel(), count)
+        held = count.reshape(terms, BINS).T.astype(float)
+        for k in range(classes):
+            if whole:
+                n, g = held.copy(), np.bincount(at, residual[k][owner], size)
+            else:
+                of = plane[k][owner] * size + at
+                n = np.bincount(of, minlength=(width + 1) * size).astype(float)
+                g = np.bincount(of, residual[k][owner], (width + 1) * size)
+            n, g = n.reshape(-1, BINS, terms), g.reshape(-1, BINS, terms)
+            for node in range(width):
+                all_n, all_g = totals[k, node, :2]
+                found = all_n and _offer(n[node], g[node], all_n, all_g, min_leaf)
+                place = k * width + node
+                if found and (place not in best or found[0] > best[place][0]):
+                    best[place] = found[0], found[1] + start, found[2]
+    return best
+
+
+def _grown(slots: int, size: int, first: int, last: int, classes: int, setting: Setting, held_entries: int):
+    """The trees of some rounds, grown by all slots together, and the margins of the rows after them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows_of(batch):
-                rows = _Block(row, classes)
-                margins = rows.add(rows.margins.copy(), rounds, setting.learning_rate)
-                residual = (rows.label[:, None] == np.arange(classes)) - softmax(margins)
-                node = np.stack([rows.nodes(tree) for tree in growing], axis=1) - (2**level - 1)
-                node[(node < 0) | ~sampled(rows.mark, number, setting)[:, None]] = -1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]], pa.int64()), pa.array([node.astype(np.int32).tobytes()], pa.binary()), pa.array([residual.tobytes()], pa.binary())], names=["block", "node", "residual"]
-                )
+        me = TaskContext.get().partitionId()
+        together = _told if slots > 1 else lambda offers, right: [(offers, right)]
+        slot = _Slot(batches, -(-(size - me) // slots) if size > me else 0, classes)
+        margins = np.ascontiguousarray(slot.margins.T)
+        trees = [_grow(slot, margins, me, slots, number, setting, together, held_entries) for number in range(first, last)]
+        if me:
+            return
+        parts = np.split(margins.T, np.cumsum(slot.sizes)[:-1])
+        for block, label, mark, part in zip(slot.names, slot.labels, slot.marks, parts):
+            yield _grown_row(block, label, mark, np.ascontiguousarray(part).tobytes(), None)
+        yield _grown_row(-1, None, None, None, json.dumps([[(t.term, t.bin, t.value) for t in r] for r in trees]).encode())
 
     return run
 
 
-_OFFER_SQL = "place int, gain double, term long, bin int, g double, h double, n long, all_g double, all_h double, all_n long"
-
-
-def best_splits(sums: np.ndarray, totals: np.ndarray, min_leaf: int) -> list[tuple]:
-    """Per place with rows: its best split among the terms given, and the sums of its right side and of the place.
-
-    ``sums`` holds residuals, hessians and counts by (kind, place, term, bin), ``totals``
-    by (kind, place).  Equal gains go to the lower term, then to the lower bin.  A
-    place without a split that is allowed has term -1 and gain 0.
-    """
+def _told(offers: dict[int, tuple[float, int, int]], right: np.ndarray) -> list[tuple[dict, np.ndarray]]:
+    """What every slot offers, and per class the rows that its offers send right."""
+    bits = base64.b64encode(zlib.compress(np.packbits(right).tobytes(), 1)).decode()
     found = []
-    for place in np.flatnonzero(totals[2]):
-        g, h, n = (np.cumsum(v[:, ::-1], axis=1)[:, ::-1] for v in sums[:, place])  # everything at or above a bin
-        all_g, all_h, all_n = totals[:, place]
-        left_n = all_n - n
-        allowed = (sums[2, place] > 0) & (n >= min_leaf) & (left_n >= min_leaf) & (left_n > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(allowed, n * left_n / (n + left_n) * (g / n - (all_g - g) / left_n) ** 2, 0.0)
-        # gains that differ by rounding only count as equal; the first is that of the lowest term and bin
-        at = int(np.round(gain, 10).argmax()) if gain.size else 0
-        best = (0.0, -1, 0, 0.0, 0.0, 0)
-        if gain.size and gain.flat[at] > LEAST_GAIN:
-            # right of a split at bin b is everything above b
-            best = (float(gain.flat[at]), at // (BINS + 1), at % (BINS + 1) - 1, float(g.flat[at]), float(h.flat[at]), round(n.flat[at]))
-        found.append((int(place), *best, float(all_g), float(all_h), round(all_n)))
+    for message in BarrierTaskContext.get().allGather(json.dumps([list(offers.items()), bits])):
+        told, bits = json.loads(message)
+        packed = np.frombuffer(zlib.decompress(base64.b64decode(bits)), np.uint8)
+        found.append((dict(told), np.unpackbits(packed, count=right.size).view(bool).reshape(right.shape)))
     return found
 
 
-def _offers(classes: int, width: int, slots: int, size: int, min_leaf: int):
-    """Best splits among the terms of a slot, from its cells and the state of all blocks."""
-    places, codes = classes * width, -(-size // slots) * (BINS + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        totals: dict[int, np.ndarray] = {}
-        entries: dict[int, list] = {}
-        waiting: dict[int, int] = {}
-
-        def add_up(slot: int) -> None:
-            # many cells at once: a pass over all sums of a slot costs more than a cell
-            if entries[slot]:
-                at, g, h = (np.concatenate(v) for v in zip(*entries[slot]))
-                for kind, values in enumerate((g, h, None)):
-                    sums[slot][kind] += np.bincount(at, values, places * codes)
-            entries[slot].clear()
-            waiting[slot] = 0
-
-        for batch in batches:
-            for row in _rows_of(batch):
-                slot = row["place"]
-                if slot not in sums:
-                    sums[slot], totals[slot], entries[slot] = np.zeros((3, places * codes)), np.zeros((3, places)), []
-                held = entries[slot]
-                code, owner = np.frombuffer(row["code"], np.int64), np.frombuffer(row["owner"], np.int32)
-                node = np.frombuffer(row["node"], np.int32).reshape(-1, classes)
-                residual = np.frombuffer(row["residual"], float).reshape(-1, classes)
-                for k in range(classes):
-                    g = residual[:, k]
-                    h = np.abs(g) * (1 - np.abs(g))
-                    live = node[:, k] >= 0
-                    mine = slice(k * width, (k + 1) * width)
-                    for kind, values in enumerate((g, h, None)):
-                        totals[slot][kind, mine] += np.bincount(node[live, k], None if values is None else values[live], width)
-                    of = node[owner, k]
-                    inside = slice(None) if (of >= 0).all() else of >= 0
-                    rows = owner[inside]
-                    held.append(((k * width + of[inside].astype(np.int64)) * codes + code[inside], g[rows], h[rows]))
-                waiting[slot] = waiting.get(slot, 0) + len(code)
-                if waiting[slot] > HELD_ENTRIES:
-                    add_up(slot)
-        for slot in sums:
-            add_up(slot)
-        for slot in sums:
-            found = best_splits(sums[slot].reshape(3, places, -1, BINS + 1), totals[slot], min_leaf)
-            if found:
-                place, gain, term, *rest = (np.array(v) for v in zip(*found))
-                columns = [place, gain, np.where(term < 0, -1, term * slots + slot), *rest]
-                names = ["place", "gain", "term", "bin", "g", "h", "n", "all_g", "all_h", "all_n"]
-                kinds = {"place": pa.int32(), "bin": pa.int32(), "term": pa.int64(), "n": pa.int64(), "all_n": pa.int64()}
-                yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.float64()), safe=False) for c, v in zip(names, columns)], names=names)
+def _grown_row(block: int, *values: bytes | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *[pa.array([v], pa.binary()) for v in values]], names=["block", "label", "mark", "margins", "trees"])
 
-    return run
 
+def _grow(slot: _Slot, margins: np.ndarray, me: int, slots: int, number: int, setting: Setting, together: Callable, held_entries: int) -> list[Tree]:
+    """The trees of one round, one pass over the slot's entries per level; adds the round to ``margins``."""
+    classes = len(margins)
+    trees = [Tree.empty(setting.depth) for _ in range(classes)]
+    residual = (slot.label == np.arange(classes)[:, None]) - softmax(margins.T).T
+    residual = np.ascontiguousarray(residual)
+    live = sampled(slot.mark, number, setting)
+    whole = bool(live.all())
+    used = slice(None) if whole else live
+    at = np.zeros((classes, slot.rows), np.int32)  # every row's node
+    nodes = 2 ** (setting.depth + 1) - 1
+
+    def sums(k: int) -> np.ndarray:
+        """Rows, residuals and hessians per node of a class."""
+        g = residual[k][used]
+        h = np.abs(g) * (1 - np.abs(g))
+        return np.stack([np.bincount(at[k][used], w, nodes) for w in (None, g, h)], axis=1)
 
-def _with_margins(rounds: list, classes: int, rate: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [rows.add(rows.margins.copy(), rounds, rate).tobytes() for rows in (_Block(row, classes) for row in _rows_of(batch))]
-            arrays = [pa.array(values, pa.binary()) if n == "margins" else batch.column(n) for n in batch.schema.names]
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+    def newton(g: float, h: float) -> float:
+        return (classes - 1) / classes * g / h if h > 1e-150 else 0.0
 
-    return run
+    totals = np.stack([sums(k) for k in range(classes)])
+    for k, tree in enumerate(trees):
+        tree.value[0] = newton(*totals[k, 0, 1:].tolist())
+    for level in range(setting.depth):
+        width, above = 2**level, 2**level - 1
+        plane_of = at - above
+        plane = np.where((plane_of < 0) | ~live, width, plane_of)  # in no node of this level
+        mine = _offers(slot, plane, residual, width, totals[:, above : above + width], setting.min_leaf, level == 0 and whole, held_entries)
+        offered = np.zeros((classes, slot.rows), bool)
+        for place, (_, term, cell) in mine.items():
+            k, node = divmod(place, width)
+            rows = slot.above(term, cell)
+            offered[k, rows[at[k][rows] == node + above]] = True
+        told = together(mine, offered)
+        best: dict[int, tuple] = {}
+        for other, (offers, _) in enumerate(told):
+            for place, (gain, term, cell) in offers.items():
+                found = (-gain, term * slots + other, cell)
+                best[place] = min(best.get(place, found), found)
+        if not best:
+            break
+        right = np.zeros((classes, slot.rows), bool)
+        parted = np.zeros((classes, nodes), bool)
+        for place, (_, term, cell) in sorted(best.items()):
+            k, node = divmod(place, width)
+            trees[k].term[node + above], trees[k].bin[node + above] = term, cell
+            parted[k, node + above] = True
+            right[k] |= told[term % slots][1][k] & (plane_of[k] == node)
+        for k, tree in enumerate(trees):
+            at[k] = np.where(parted[k][at[k]], 2 * at[k] + 1 + right[k], at[k])
+            totals[k] = sums(k)
+            for node in np.flatnonzero(parted[k]):
+                for child in (2 * node + 1, 2 * node + 2):
+                    tree.value[child] = newton(*totals[k, child, 1:].tolist())
+    for k, tree in enumerate(trees):
+        margins[k] += setting.learning_rate * np.asarray(tree.value)[at[k]]
+    return trees
 
 
 def _slot_keys(spark: SparkSession, slots: int) -> list[int]:
@@ -373,7 +455,8 @@ def fit_boosted(rows: DataFrame, classes: int, setting: Setting, slots: int | No
 
     A leaf that does not split keeps its value; a class whose residuals offer no
     gain gets a single leaf.  ``slots`` is the number of partitions that terms are
-    dealt to (by default as many as the entries fill, up to ``MOST_SLOTS``).
+    dealt to (by default as many as the entries fill, up to ``MOST_SLOTS``); no more
+    than the tasks that can run side by side.
     """
     spark = rows.sparkSession
     edges = bin_edges(rows)
@@ -389,68 +472,44 @@ def fit_boosted(rows: DataFrame, classes: int, setting: Setting, slots: int | No
     # a class without rows starts as if it had a millionth of one
     start = np.log(np.maximum(shares, 1e-6) / max(shares.sum(), 1.0)).tolist()
     table = cut_lineage(table, "boosting")
-    # a level is a job of its own: few tasks while the stored rows are small
+    # the slots run side by side and tell each other their splits
     entries, count = table.agg(F.sum(F.size("ids")), F.count("*")).first()
+    if not count:
+        return Boosted(start, [[Tree.empty(setting.depth) for _ in range(classes)] for _ in range(setting.rounds)], setting.learning_rate)
     parts = 1 + max((entries or 0) // TASK_ENTRIES, count // BLOCK_ROWS)
-    slots = slots or min(parts, MOST_SLOTS)
-    keys = _slot_keys(spark, slots)
-    blocks = cut_lineage(table.repartition(parts).mapInArrow(_blocks(start), _BLOCK_SQL), "blocks")
-    cells = blocks.mapInArrow(_cells(keys), "slot long, place int, block long, code binary, owner binary")
-    cells = cells.repartition(slots, "slot").persist(StorageLevel.MEMORY_AND_DISK)
-    cells.count()
-    blocks = blocks.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    slots = min(slots or min(1 + (entries or 0) // SLOT_ENTRIES, MOST_SLOTS), _tasks_at_once(spark))
+    blocks = cut_lineage(table.repartition(parts).mapInArrow(_blocks(start, BLOCK_ROWS), _BLOCK_SQL), "blocks")
+    cells = blocks.select("block", "term", "cell", "owner").mapInArrow(_cells(slots), "slot int, block long, code binary, owner binary")
+    cells = cut_lineage(cells, "cells")
     done: list[list[Tree]] = []
-    stored = 0
-    try:
-        for number in range(setting.rounds):
-            if number - stored >= STORED_ROUNDS:
-                moved = blocks.mapInArrow(_with_margins(done[stored:number], classes, setting.learning_rate), _BLOCK_SQL)
-                moved = cut_lineage(moved, "blocks").coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
-                blocks.unpersist()
-                blocks, stored = moved, number
-            done.append(_grow(blocks, cells, keys, size, done[stored:], number, classes, setting))
-    finally:
-        blocks.unpersist()
-        cells.unpersist()
+    for first in range(0, setting.rounds, STORED_ROUNDS):
+        last = min(first + STORED_ROUNDS, setting.rounds)
+        every = blocks.select(F.explode(F.array(*[F.lit(i) for i in range(slots)])).alias("slot"), "block", "label", "mark", "margins")
+        pieces = _dealt(cells.unionByName(every, allowMissingColumns=True), slots).select(*[c.split()[0] for c in _PIECE_SQL.split(", ")])
+        grown = pieces.mapInArrow(_grown(slots, size, first, last, classes, setting, HELD_ENTRIES), _GROWN_SQL, barrier=slots > 1)
+        blocks = cut_lineage(grown, "blocks")
+        told = json.loads(blocks.filter("trees is not null").first()["trees"])
+        done += [[Tree(*t, [0.0] * len(t[0])) for t in trees] for trees in told]
+        blocks = blocks.filter("trees is null")
     _set_thresholds(done, edges)
     return Boosted(start, done, setting.learning_rate)
 
 
-def _grow(blocks: DataFrame, cells: DataFrame, keys: Sequence[int], size: int, since: list, number: int, classes: int, setting: Setting) -> list[Tree]:
-    """The trees of one round, one pass over the rows per level."""
-    trees = [Tree.empty(setting.depth) for _ in range(classes)]
-    slots = len(keys)
+def _tasks_at_once(spark: SparkSession) -> int:
+    """How many tasks that wait for each other can run; one where the number of executors may change."""
+    context = spark.sparkContext
+    if context.getConf().get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return 1
+    inner = context._jsc.sc()
+    return max(1, inner.maxNumConcurrentTasks(inner.resourceProfileManager().defaultResourceProfile()))
 
-    def newton(g: float, h: float) -> float:
-        return (classes - 1) / classes * g / h if h > 1e-150 else 0.0
 
-    for level in range(setting.depth):
-        state = blocks.mapInArrow(_state(since, trees, level, number, classes, setting), _STATE_SQL)
-        every = state.select(F.explode(F.array(*[F.lit(k).cast("bigint") for k in keys])).alias("slot"), F.col("block").alias("of"), "node", "residual")
-        # the cells stay where they are and only the state is shuffled: the slot is the only key that is compared by "="
-        met = cells.join(every.repartition(slots, "slot").hint("shuffle_hash"), "slot").filter("block <= of and block >= of")
-        offers = met.select("place", "code", "owner", "node", "residual").mapInArrow(_offers(classes, 2**level, slots, size, setting.min_leaf), _OFFER_SQL).toPandas()
-        if offers.empty:
-            break
-        offers["gain"] = offers["gain"].round(10)
-        offers["none"] = offers["term"] < 0
-        best = offers.sort_values(["none", "gain", "term", "bin"], ascending=[True, False, True, True]).drop_duplicates("place")
-        split = False
-        for row in best.itertuples():
-            k, node = divmod(row.place, 2**level)
-            node += 2**level - 1
-            tree = trees[k]
-            if level == 0:
-                tree.value[0] = newton(row.all_g, row.all_h)
-            if row.term < 0:
-                continue
-            split = True
-            tree.term[node], tree.bin[node] = int(row.term), int(row.bin)
-            tree.value[2 * node + 1] = newton(row.all_g - row.g, row.all_h - row.h)
-            tree.value[2 * node + 2] = newton(row.g, row.h)
-        if not split:
-            break
-    return trees
+def _dealt(pieces: DataFrame, slots: int) -> DataFrame:
+    """The rows of every ``slot``, numbered from 0, in a partition of their own."""
+    if hasattr(pieces, "repartitionById"):
+        return pieces.repartitionById(slots, "slot")
+    keys = F.array(*[F.lit(k) for k in _slot_keys(pieces.sparkSession, slots)])  # before Spark 4.1
+    return pieces.repartition(slots, F.get(keys, F.col("slot")))
 
 
 def _set_thresholds(rounds: list[list[Tree]], edges: DataFrame) -> None:

@@ -182,3 +182,14 @@ def test_blocks_and_slots_change_nothing(sample, monkeypatch):
 def test_slot_keys_fall_into_different_partitions(spark):
     keys = spark.createDataFrame([(k,) for k in boosting._slot_keys(spark, 7)], "slot bigint").repartition(7, "slot")
     assert keys.selectExpr("spark_partition_id() p").distinct().count() == 7
+
+
+def test_rounds_are_not_jobs_of_their_own(spark, sample):
+    def jobs(rounds):
+        spark.sparkContext.setJobGroup(f"boosting-{rounds}", "")
+        fit_boosted(sample[0], 3, Setting(rounds, 2))
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boosting-{rounds}"))
+
+    few = jobs(2)
+    assert jobs(20) <= few + 3
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
