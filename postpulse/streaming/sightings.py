@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +18,7 @@ from postpulse.sources.folders import exists
 from postpulse.sources.schemas import LISTING_SCHEMA
 
 SIGHTING_SCHEMA = T.StructType([*LISTING_SCHEMA.fields, T.StructField("listing_rank", T.IntegerType())])
+STATE_SCHEMA = T.StructType([*[SIGHTING_SCHEMA[c] for c in ("listing_rank", "position", "created_utc")], T.StructField("digest", T.StringType())])
 STATE_STORE = (
     "spark.sql.streaming.stateStore.providerClass",
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -22,45 +26,79 @@ STATE_STORE = (
 _LAST = float("inf")
 
 
-def _place(row: Any) -> tuple:
-    """What decides between sightings, in the order of the batch rule: absent values come first."""
-    texts = (row["title"], row["selftext"], row["listing"], row["time_filter"])
-    newest = _LAST if row["created_utc"] is None else -row["created_utc"]
-    position = (row["position"] is not None, row["position"] or 0)
-    return (row["listing_rank"], position, newest, *[(t is not None, t or "") for t in texts])
+def _standing(row: Any) -> tuple:
+    """What decides between sightings but for their texts, in the order of the batch rule: absent values come first."""
+    created = row["created_utc"]
+    newest = _LAST if created is None else -_LAST if created != created else -created
+    return (row["listing_rank"], (row["position"] is not None, row["position"] or 0), newest)
+
+
+def _texts(row: Any) -> tuple:
+    """What decides between sightings of the same standing."""
+    return tuple((row[c] is not None, row[c] or "") for c in ("title", "selftext", "listing", "time_filter"))
+
+
+def _digest(row: Any) -> str:
+    """Of the texts, their lengths first."""
+    texts = [row[c] for c in ("title", "selftext", "listing", "time_filter")]
+    whole = "".join([str([None if t is None else len(t) for t in texts]), *[t or "" for t in texts]])
+    return hashlib.blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 class BestSighting(StatefulProcessor):
-    """State of one (source, id): the best sighting so far; a row goes out whenever it improves."""
+    """State of one (source, id): standing and digest of the best sighting so far, not its texts.
+
+    A row goes out whenever it improves.  One of the same standing and other texts
+    goes out too: :func:`read_sightings` has the texts that decide between them.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.best = handle.getValueState("best", SIGHTING_SCHEMA)
+        self.best = handle.getValueState("standing", STATE_SCHEMA)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        known = self.best.get()  # None if there is none: one call to the state store, not two
-        before = None if known is None else _place(dict(zip(SIGHTING_SCHEMA.fieldNames(), known, strict=True)))
-        best, place = None, before
+        best, place = None, None
         for row in rows:
-            mine = _place(row)
-            if place is None or mine < place:
+            mine = _standing(row)
+            if best is None or mine < place or (mine == place and _texts(row) < _texts(best)):
                 best, place = row, mine
-        if best is not None:
-            values = tuple(best[name] for name in SIGHTING_SCHEMA.fieldNames())
-            self.best.update(values)
-            yield Row(**dict(zip(SIGHTING_SCHEMA.fieldNames(), values, strict=True)))
+        known = self.best.get()  # None if there is none: one call to the state store, not two
+        if known is not None:
+            before = dict(zip(STATE_SCHEMA.fieldNames(), known, strict=True))
+            if _standing(before) < place:
+                return
+        digest = _digest(best)
+        if known is not None and _standing(before) == place and before["digest"] == digest:
+            return
+        self.best.update((best["listing_rank"], best["position"], best["created_utc"], digest))
+        yield Row(**{name: best[name] for name in SIGHTING_SCHEMA.fieldNames()})
 
     def close(self) -> None:
         pass
 
 
+def _unbeaten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that no row of the same post in their batch is better than, texts left aside: what need not be shuffled goes first."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        post = batch.select(["subreddit", "id"]).to_pandas().groupby(["subreddit", "id"], dropna=False).ngroup().to_numpy()
+        position, created = batch.column("position"), batch.column("created_utc").to_numpy(zero_copy_only=False).astype(float)
+        absent = batch.column("created_utc").is_null().to_numpy(zero_copy_only=False)
+        newest = np.where(absent, _LAST, np.where(np.isnan(created), -_LAST, -created))
+        standing = [batch.column("listing_rank").to_numpy(zero_copy_only=False), position.is_valid().to_numpy(zero_copy_only=False), position.fill_null(0).to_numpy(), newest]
+        order = np.lexsort((*reversed(standing), post))
+        first = order[np.r_[True, post[order][1:] != post[order][:-1]]][post]  # posts are numbered in their order
+        yield batch.filter(pa.array(np.logical_and.reduce([v == v[first] for v in standing])))
+
+
 def best_sightings(listings: DataFrame) -> DataFrame:
     """Listing rows with ``listing_rank``: the first best sighting of each (source, id), and every better one after it.
 
-    Needs the state store of :data:`STATE_STORE`.  The state holds one row per
+    Needs the state store of :data:`STATE_STORE`.  The state holds one short row per
     post and outlives restarts with the checkpoint.
     """
     ranked = listings.withColumn("listing_rank", listing_rank().cast("int")).select(*SIGHTING_SCHEMA.fieldNames())
-    grouped = ranked.groupBy("subreddit", "id")
+    grouped = ranked.mapInArrow(_unbeaten, SIGHTING_SCHEMA).groupBy("subreddit", "id")
     return grouped.transformWithState(BestSighting(), SIGHTING_SCHEMA, "Update", "None")
 
 
@@ -69,7 +107,7 @@ def store_sightings(listings: DataFrame, path: str, checkpoint: str, trigger: di
     spark = listings.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/batch={number}")
 
     writer = (
         best_sightings(listings)
